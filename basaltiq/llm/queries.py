@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltiq.llm import line_dedup
+from basaltiq.llm import decontaminate, line_dedup, quality_rules
 from basaltiq.llm.common import table
 
 
@@ -14,8 +14,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
