@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltiq.llm import decontaminate, line_dedup, quality_rules
+from basaltiq.llm import decontaminate, line_dedup, packing, pii, quality_model, quality_rules, sstable, warc
 from basaltiq.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file, from the folder in ``BASALTIQ_TOKENIZERS`` where that is set."""
+    if folder := os.environ.get("BASALTIQ_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,11 +36,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_line_dedup": op1_line_dedup,
-    "op3_quality_rules": op3_quality_rules,
-    "op4_decontaminate": op4_decontaminate,
-}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, with_html=False).drop("url", "html")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2, keeps_blanks=False)
+    return sstable.read_shards(manifest)
+
+
+OPERATORS = (op1_line_dedup, op2_quality_model, op3_quality_rules, op4_decontaminate, op5_pii, op6_warc, op8_packing, op9_sstable)
+BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
