@@ -208,11 +208,11 @@ OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 first AS (SELECT hex, max(page_id) AS refers_to FROM p GROUP BY hex),
 bits AS (
-  SELECT hex, list_aggregate(list_transform(range(40), i ->
+  SELECT hex, list_aggregate(list_transform(range(40), lambda i:
     right('0000' || bin(instr('0123456789abcdef', substr(hex, i + 1, 1)) - 1), 4)), 'string_agg', '') AS b
   FROM first),
 names AS (
-  SELECT hex, list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  SELECT hex, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (CASE WHEN substr(b, 5 * i + 1, 1) = '1' THEN 16 ELSE 0 END + CASE WHEN substr(b, 5 * i + 2, 1) = '1' THEN 8 ELSE 0 END
      + CASE WHEN substr(b, 5 * i + 3, 1) = '1' THEN 4 ELSE 0 END + CASE WHEN substr(b, 5 * i + 4, 1) = '1' THEN 2 ELSE 0 END
      + CASE WHEN substr(b, 5 * i + 5, 1) = '1' THEN 1 ELSE 0 END + 1)::INT, 1)), 'string_agg', '') AS digest
