@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basaltiq.llm import decontaminate, line_dedup, packing, pii, quality_model, quality_rules, sstable, warc
+from basaltiq.llm import chat, decontaminate, line_dedup, near_duplicates, packing, pii, quality_model, quality_rules, sstable, warc
 from basaltiq.llm.common import table
 
 
@@ -45,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, with_html=False).drop("url", "html")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"))
 
@@ -54,7 +59,11 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest)
 
 
-OPERATORS = (op1_line_dedup, op2_quality_model, op3_quality_rules, op4_decontaminate, op5_pii, op6_warc, op8_packing, op9_sstable)
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations")).withColumn("rendered_sha256", F.sha2("rendered", 256))
+
+
+OPERATORS = (op1_line_dedup, op2_quality_model, op3_quality_rules, op4_decontaminate, op5_pii, op6_warc, op7_near_duplicates, op8_packing, op9_sstable, op10_chat)
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
