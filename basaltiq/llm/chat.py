@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -166,19 +165,14 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     )
     # The role before: by key, since a window over a hot conversation would gather it; segments end such runs.
     firsts = own.groupBy("conv_id", "segment", "turn").agg(F.min("role").alias("before")).withColumn("turn", F.col("turn") + 1)
-    model = known_counts(own.join(firsts, ["conv_id", "segment", "turn"], "left"))
-    sent = conversations.sparkSession.sparkContext.broadcast(model)
-
-    @lru_cache(maxsize=1)
-    def hmm() -> Hmm:
-        return Hmm(sent.value)
+    hmm = Hmm(known_counts(own.join(firsts, ["conv_id", "segment", "turn"], "left")))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["turn", "role", "text"], kind="stable")
-        turns = parse("\n".join(rows["text"]), hmm())
+        turns = parse("\n".join(rows["text"]), hmm)
         truth = [r if r in ROLES else "user" for r, t in zip(rows["role"], rows["text"], strict=True) for _ in range(t.count("\n") + 1)]
         lines = "\n".join(rows["text"]).split("\n")
-        guess = [r for r, _ in hmm().decode(observe(lines))]
+        guess = [r for r, _ in hmm.decode(observe(lines))]
         return pd.DataFrame({
             "conv": [rows["conv"].iloc[0]], "segment": [rows["segment"].iloc[0]], "n_lines": [len(lines)], "n_turns": [len(turns)],
             "roles": [",".join(r for r, _ in turns)], "n_role_errors": [sum(a != b for a, b in zip(guess, truth, strict=True))], "rendered": [render(turns)],
