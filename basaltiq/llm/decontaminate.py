@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltiq.llm.common import ascii_lower, let, written
+from basaltiq.llm.common import BROADCAST_ROWS, ascii_lower, let, written
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -108,19 +108,32 @@ def covered_words(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), first, step, lambda acc: acc["n"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, block_rows: int = 200_000) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
+def judged(docs: DataFrame, benchmark: DataFrame, block_rows: int) -> DataFrame:
+    """``doc_id, t, n_words, n_hit, n_items, items_sha256, contaminated`` for every document; ``t``: hash of the text."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t")).alias("did"))
     base = keyed.select("doc_id", "did", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     found = hits(keyed, benchmark, block_rows=block_rows)
     no_items = F.sha2(F.lit(""), 256)
     if found is None:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), no_items.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return base.select("doc_id", "did.t", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), no_items.alias("items_sha256"), F.lit(False).alias("contaminated"))
     by_doc = found.groupBy("did").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     by_doc = by_doc.select(F.col("did.id").alias("id"), F.col("did.t").alias("t"), covered_words(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     joined = base.join(by_doc, base["did.id"].eqNullSafe(by_doc["id"]) & (base["did.t"] == by_doc["t"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", no_items).alias("items_sha256"),
+        "doc_id", base["did.t"].alias("t"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", no_items).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, block_rows: int = 200_000) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
+    return judged(docs, benchmark, block_rows).drop("t")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, block_rows: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    bad = judged(docs, benchmark, block_rows).where("contaminated").select(F.col("doc_id").alias("k_id"), F.col("t").alias("k_t")).distinct()
+    bad = written(bad, "contaminated")
+    side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["k_id"]) & (F.xxhash64(docs["text"]) == side["k_t"]), "left_anti")

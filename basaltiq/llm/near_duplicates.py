@@ -84,14 +84,14 @@ def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, sid`` of every document; no ``sid`` where there is no set."""
+    """``doc_id, t, n, sid`` of every document; no ``sid`` where there is no set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, size) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
+            yield pa.record_batch([b.column("doc_id"), b.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "t", "n", "sid"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, sid long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(rows, "doc_id long, t long, n long, sid long")
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -309,8 +309,8 @@ def tree_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # ------------------------------------------------------------------ the join
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id``; ``component_id``: smallest ``doc_id`` reachable by links."""
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, t, n, sid, root`` of every document; ``t``: hash of the text, ``root``: the least class that its class reaches."""
     own = sources_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = written(classes(own, size), "classes")
     dealt = written(blocks(own, size, percent), "blocks")
@@ -333,7 +333,28 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     late = verify(pairs, more, percent)
     found = components(links.unionByName(late))
 
-    joined = named.join(found.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("root", "sid").alias("root"))
-    least = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = joined.join(least, "root", "left")
+    return named.join(found.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", "t", "n", "sid", F.coalesce("root", "sid").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id``; ``component_id``: smallest ``doc_id`` reachable by links."""
+    all_ = written(grouped(docs, size, percent), "components")
+    least = all_.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = all_.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("sid").alias("class_id"))
+
+
+def deduplicate(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest ``doc_id`` stays, one of
+    equal rows; documents without words all stay."""
+    all_ = written(grouped(docs, size, percent), "components")
+    first = all_.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("k"), F.count("*").alias("rows"))
+    keys = first.select(F.col("k.doc_id").alias("k_id"), F.col("k.t").alias("k_t")).unionByName(all_.where("root is null").select(F.col("doc_id").alias("k_id"), F.col("t").alias("k_t")).distinct())
+    keys = written(keys, "kept")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    kept = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["k_id"]) & (F.xxhash64(docs["text"]) == side["k_t"]), "left_semi")
+    repeats = all_.where("root is not null").groupBy("doc_id", "t").count().where("count > 1").limit(1).count()
+    if repeats:  # ids that several equal rows bear; without words they stay
+        worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(worded).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~worded))
+    return kept

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltiq.llm.common import BROADCAST_ROWS, let
+from basaltiq.llm.common import BROADCAST_ROWS, let, sources_of
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -93,7 +93,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, *, n_buckets: int, uniform: f
 
 def judge(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 8192, uniform: float = 0.1, threshold: float = -0.1, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the base columns, ``score`` and ``kept`` for every document, with the columns named in ``keep``."""
-    ratios = log_ratios(docs, labels, n_buckets=n_buckets, uniform=uniform)
+    docs = sources_of(docs, *dict.fromkeys(("doc_id", "text", *keep)))
+    ratios = log_ratios(docs.select("doc_id", "text"), labels, n_buckets=n_buckets, uniform=uniform)
     base = with_base_rules(docs, "doc_id", *[c for c in keep if c != "doc_id"])
     # Constant folding turns this into one array literal; F.lit(array) would cross to the JVM once a number.
     model, zero = F.split(F.lit(",".join(map(repr, ratios.tolist()))), ",").cast("array<double>"), F.lit(0.0)
