@@ -6,11 +6,14 @@
    blocks; tokens of frequent buckets are salted, and blocks of one class fall away as their rows stream by.
 3. In each block every class is compared with the block's least one, and the links found are contracted. That settles
    groups of copies without their pairs. Blocks that still hold several components are joined by signature trees:
-   leaves are classes, nodes hold OR-combined bitmaps, size ranges and, if it is only one, the component. Both sides
-   are traversed together; a pair of nodes is left when it is of one component, when sizes exclude the threshold, or
-   when even all common bits and all tokens that share a bit give too little overlap. Large blocks are cut into chunks,
-   and each pair of chunks is a unit of work.
-4. Pairs are verified on whole sets in one stream: each set is sent once a partner list, next to its partner.
+   leaves are classes, nodes hold OR-combined bitmaps of prefix tokens, size ranges and, if it is only one, the
+   component. Both sides are traversed together; a pair of nodes is left when it is of one component, when sizes
+   exclude the threshold, or when even all common bits and all tokens that share a bit are too few prefix tokens in
+   common. Large blocks are cut into chunks, and each pair of chunks is a unit of work.
+4. Of two sets, the one whose prefix ends first has all its common prefix tokens in the other's prefix. So a link shares
+   at least the needed overlap less the longer rest of the two (``shared_least``): a bound for nodes, and for pairs,
+   which the trees report once for each common token, the count that they must reach.
+5. The pairs that remain are verified on whole sets in one stream: a set is sent once to each part of a partner's list.
 
 No pair that reaches the threshold is lost but such as are connected otherwise; nothing is capped. Defined results: a
 null or empty text, or one without words, has no set and is its own component; fewer words than a shingle are one
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,37 +36,104 @@ from basaltiq.llm.common import BROADCAST_ROWS, sources_of, written
 from basaltiq.llm.components import components
 
 SKETCH = 1 << 16
-BITS = 1024
+BITS = 512
 CHUNK = 256
 FANOUT = 8
-_words: dict[bytes, int] = {}
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of ``size`` consecutive words, ascending. ``bytes`` methods know ASCII case and blanks only."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = list(map(_words.get, words))
-    if None in hashes:
-        if len(_words) > 500_000:
-            _words.clear()
-        for i, w in enumerate(words):
-            if hashes[i] is None:
-                hashes[i] = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= 32:
-                    _words[w] = hashes[i]
-    h = np.array(hashes, np.uint64)
-    if len(h) < size:  # whole sequence; the seed keeps other lengths apart
-        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], np.uint64)
-    n = len(h) - size + 1
+
+
+# Bytes hash by a table in which A-Z are a-z, words by a polynomial of their bytes, modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_GAP = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
+_TABLE = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([k + 32 if 65 <= k <= 90 else k])) for k in range(256)), "<u8").astype(np.uint64)
+SEGMENT = 1 << 20
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n``."""
+    if not _powers or len(_powers["up"]) < n:
+        size = max(n, SEGMENT + 4096)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+    return _powers["up"], _powers["down"]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(27))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each word of ``data``."""
+    arr = np.frombuffer(data, np.uint8)
+    gap = _GAP[arr]
+    edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1, append=1))
+    first, end = edge[::2], edge[1::2]
+    if not len(first):
+        return np.empty(0, np.uint64), first
+    up, down = _power(len(arr))
+    sums = np.zeros(len(arr) + 1, np.uint64)
+    np.cumsum(_TABLE[arr] * up[: len(arr)], out=sums[1:])
+    return _mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)), first
+
+
+def _sets_of_group(texts: list[bytes], size: int) -> list[np.ndarray]:
+    joined = b"\n".join(texts)
+    hashes, first = _word_hashes(joined)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = np.concatenate([[0], np.searchsorted(first, ends)])
+    return _sets_of_words(hashes, cuts, size)
+
+
+def _sets_of_words(hashes: np.ndarray, cuts: np.ndarray, size: int) -> list[np.ndarray]:
+    """The set of each document, whose words are ``hashes[cuts[k]:cuts[k + 1]]``."""
+    n = max(0, len(hashes) - size + 1)
     total = np.zeros(n, np.uint64)
     for k in range(size):
-        total += h[k : k + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & 0xFFFFFFFFFFFFFFFF | 1)
-    total ^= total >> np.uint64(30)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    total ^= total >> np.uint64(27)
-    return np.unique(total)
+        total += hashes[k : k + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & 0xFFFFFFFFFFFFFFFF | 1)
+    total = _mixed(total)
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a >= size:
+            s = np.sort(total[a : b - size + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif b > a:  # the whole sequence; the seed keeps other lengths apart
+            out.append(np.array([xxhash.xxh3_64_intdigest(hashes[a:b].tobytes(), b - a)], np.uint64))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def _long_set(data: bytes, size: int) -> np.ndarray:
+    """A text longer than a segment: its words by segments that end at a gap."""
+    parts, at = [], 0
+    while at < len(data):
+        end = at + SEGMENT
+        while end < len(data) and not _GAP[data[end]]:
+            end += 1
+        parts.append(_word_hashes(data[at:end])[0])
+        at = end
+    hashes = np.concatenate(parts)
+    return _sets_of_words(hashes, np.array([0, len(hashes)]), size)[0]
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """For each text the distinct 64-bit hashes of ``size`` consecutive words, ascending; many texts at once."""
+    out: list[np.ndarray] = []
+    group, held = [], 0
+    for t in texts:
+        data = (t or "").encode("utf-8", "surrogatepass")
+        if held + len(data) > SEGMENT and group:
+            out += _sets_of_group(group, size)
+            group, held = [], 0
+        if len(data) > SEGMENT:
+            out.append(_long_set(data, size))
+        else:
+            group.append(data)
+            held += len(data) + 1
+    return out + (_sets_of_group(group, size) if group else [])
 
 
 def set_id(s: np.ndarray) -> int:
@@ -74,24 +145,40 @@ def needed(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
+def prefix_length(n: int, percent: int) -> int:
+    return n + (percent * n // -100) + 1
+
+
 def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    least = -(-percent * len(s) // 100)
-    order = np.lexsort((s, counts[(s % np.uint64(SKETCH)).astype(np.int64)]))
-    return s[order[: len(s) - least + 1]]
+    order = np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
+    return s[order[: prefix_length(len(s), percent)]]
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Bits from the upper part of the hash, which the sketch does not use."""
+    return np.packbits(np.bincount((tokens >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) > 0).tobytes()
+
+
+def shared_least(low: int, other_low: int, high: int, percent: int) -> int:
+    """Prefix tokens that a link shares at least: sets of at least ``low`` and ``other_low`` tokens, none over ``high``."""
+    return needed(low + other_low, percent) - (high + 1 - prefix_length(high, percent)) + 1
 
 
 # ------------------------------------------------------------------ passes over texts
 
 
-def classes(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, t, n, sid`` of every document; no ``sid`` where there is no set."""
+def classes(docs: DataFrame, counts: Broadcast, size: int, percent: int) -> DataFrame:
+    """``doc_id, t, n, sid, bits`` of every document; no ``sid`` and ``bits`` where there is no set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "t", "n", "sid"])
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                sets = shingle_sets(part.column("text").to_pylist(), size)
+                made = [(len(s), set_id(s), bitmap(prefix(s, counts.value, percent))) if len(s) else (0, None, None) for s in sets]
+                yield pa.record_batch([part.column("doc_id"), part.column("t"), *(pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "t", "n", "sid", "bits"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(rows, "doc_id long, t long, n long, sid long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(rows, "doc_id long, t long, n long, sid long, bits binary")
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -100,8 +187,9 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                np.add.at(total, (shingles(t, size) % np.uint64(SKETCH)).astype(np.int64), 1)
+            for k in range(0, b.num_rows, 256):
+                sets = shingle_sets(b.column("text").slice(k, 256).to_pylist(), size)
+                total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["b", "n"])
 
@@ -111,24 +199,22 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def blocks(docs: DataFrame, sent: Broadcast, size: int, percent: int) -> DataFrame:
     """``token, sid, n``: classes by prefix token, for tokens of two or more classes."""
-    counts = sketch(docs, size)
     # A bucket whose count stands far out holds a frequent token; its rows are salted and kept.
-    hot = int(counts.mean() + 8 * np.sqrt(counts.mean()) + 1000)
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    mean = sent.value.mean()
+    hot = int(mean + 8 * np.sqrt(mean) + 1000)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 tokens, salts, sids, ns = [], [], [], []
-                for t in b.column("text").slice(k, 1024).to_pylist():
-                    s = shingles(t, size)
+                for s in shingle_sets(b.column("text").slice(k, 1024).to_pylist(), size):
                     if not len(s):
                         continue
                     p, sid = prefix(s, sent.value, percent), set_id(s)
                     tokens.append(p)
-                    salts.append(np.where(sent.value[(p % np.uint64(SKETCH)).astype(np.int64)] > hot, 1 + sid % 64, 0).astype(np.int32))
+                    salts.append(np.where(sent.value[(p & np.uint64(SKETCH - 1)).astype(np.int64)] > hot, 1 + sid % 64, 0).astype(np.int32))
                     sids.append(np.full(len(p), sid, np.int64))
                     ns.append(np.full(len(p), len(s), np.int64))
                 if tokens:
@@ -164,9 +250,9 @@ def blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid").mapInArrow(crowded, "token long, sid long, n long")
 
 
-def sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``sid, tokens, bits`` of the classes in ``wanted (sid)``: their sets again, from one document of each."""
-    who = written(named.join(wanted.distinct(), "sid").groupBy("sid").agg(F.min("doc_id").alias("who")), "wanted")
+def sets_of(docs: DataFrame, meta: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``sid, tokens`` of the classes in ``wanted (sid)``: their sets again, from one document of each."""
+    who = written(meta.join(wanted.distinct(), "sid").select("sid", "who"), "wanted")
     side = F.broadcast(who) if who.count() <= BROADCAST_ROWS else who
     # Only the documents that name a class; several rows may bear the id, so the class is checked again.
     found = docs.join(side, docs["doc_id"].eqNullSafe(side["who"])).select("sid", "text")
@@ -175,11 +261,11 @@ def sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, size: int) ->
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                made = [(i, s) for i, t in zip(part.column("sid").to_pylist(), part.column("text").to_pylist(), strict=True) if len(s := shingles(t, size)) and set_id(s) == i]
-                bits = [np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) > 0).tobytes() for _, s in made]
-                yield pa.record_batch([pa.array([i for i, _ in made], pa.int64()), pa.array([s.tobytes() for _, s in made], pa.binary()), pa.array(bits, pa.binary())], names=["sid", "tokens", "bits"])
+                sets = shingle_sets(part.column("text").to_pylist(), size)
+                made = [(i, s.tobytes()) for i, s in zip(part.column("sid").to_pylist(), sets, strict=True) if len(s) and set_id(s) == i]
+                yield pa.record_batch([pa.array([i for i, _ in made], pa.int64()), pa.array([s for _, s in made], pa.binary())], names=["sid", "tokens"])
 
-    return found.mapInArrow(rows, "sid long, tokens binary, bits binary")
+    return found.mapInArrow(rows, "sid long, tokens binary")
 
 
 # ------------------------------------------------------------------ verification
@@ -219,7 +305,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, *, part: int = 512)
 
 @dataclass
 class Node:
-    """``slack``: tokens beyond the set bits, at most, of a member; ``component``: None if there are several."""
+    """``slack``: prefix tokens beyond the set bits, at most, of a member; ``component``: None if there are several."""
 
     bits: int
     low: int
@@ -230,9 +316,14 @@ class Node:
     children: tuple[Node, ...] = ()
 
 
-def build(members: list[tuple[int, int, int, int]]) -> Node:
-    """A tree over ``(sid, n, component, bits)``: ordered by size and bits so that like leaves are neighbours."""
-    level = [Node(bits, n, n, n - bits.bit_count(), c, sid) for sid, n, c, bits in sorted(members, key=lambda m: (m[1].bit_length(), m[2], m[3]))]
+def leaf(sid: int, n: int, component: int, bits: bytes, percent: int) -> Node:
+    signature = int.from_bytes(bits, "big")
+    return Node(signature, n, n, prefix_length(n, percent) - signature.bit_count(), component, sid)
+
+
+def build(leaves: list[Node]) -> Node:
+    """A tree over leaves, ordered by size, component and bits so that like ones are neighbours."""
+    level = sorted(leaves, key=lambda x: (x.low.bit_length(), x.component, x.bits, x.sid))
     while len(level) > 1:
         level = [_join(tuple(level[k : k + FANOUT])) for k in range(0, len(level), FANOUT)]
     return level[0]
@@ -252,11 +343,10 @@ def may_link(x: Node, y: Node, percent: int) -> bool:
         return False
     if 100 * min(x.high, y.high) < percent * max(x.low, y.low):
         return False
-    overlap = min(x.high, y.high, (x.bits & y.bits).bit_count() + min(x.slack, y.slack))
-    return overlap >= needed(x.low + y.low, percent)
+    return (x.bits & y.bits).bit_count() + min(x.slack, y.slack) >= shared_least(x.low, y.low, max(x.high, y.high), percent)
 
 
-def traverse(left: Node, right: Node, percent: int) -> Iterator[tuple[int, int]]:
+def traverse(left: Node, right: Node, percent: int) -> Iterator[tuple[Node, Node]]:
     """Candidate pairs of members; with ``left is right`` each pair once."""
     todo = [(left, right)]
     while todo:
@@ -270,40 +360,56 @@ def traverse(left: Node, right: Node, percent: int) -> Iterator[tuple[int, int]]
             elif y.children:
                 todo += [(x, c) for c in y.children]
             elif x.sid != y.sid:
-                yield (x.sid, y.sid) if x.sid > y.sid else (y.sid, x.sid)
+                yield (x, y) if x.sid > y.sid else (y, x)
 
 
-def tree_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs in the blocks ``rest (token, sid, n, component)``."""
+def tree_pairs(rest: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n_a, n_b, shared``: candidate pairs in the blocks ``rest (token, sid, component)`` and their common tokens."""
     chunks = rest.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     own = rest.join(chunks, "token").withColumn("k", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     # Each row goes to the pairs of chunks (k, j) and (j, k), of which the one with i <= j is the unit.
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    units = own.select("token", "sid", "n", "component", "k", other).select("token", "sid", "n", "component", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
-    ready = units.join(sets.select("sid", "bits").dropDuplicates(["sid"]), "sid")
+    units = own.select("token", "sid", "component", "k", other).select("token", "sid", "component", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    ready = units.join(meta.select("sid", "n", "bits"), "sid")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, left, right = None, [], []
 
-        def found() -> set[tuple[int, int]]:
-            if not left or (unit[1] != unit[2] and not right):
-                return set()
+        def found() -> list[tuple[Node, Node]]:
+            if not left or (unit[1] == unit[2] and len(left) < 2) or (unit[1] != unit[2] and not right):
+                return []
             tree = build(left)
-            return set(traverse(tree, tree if unit[1] == unit[2] else build(right), percent))
+            return list(traverse(tree, tree if unit[1] == unit[2] else build(right), percent))
+
+        def batch(pairs: list[tuple[Node, Node]]) -> pa.RecordBatch:
+            cols = ([x.sid for x, _ in pairs], [y.sid for _, y in pairs], [x.low for x, _ in pairs], [y.low for _, y in pairs])
+            return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n_a", "n_b"])
 
         for b in batches:
-            pairs: set[tuple[int, int]] = set()
+            pairs: list[tuple[Node, Node]] = []
             for token, i, j, k, sid, n, c, bits in zip(*(b.column(x).to_pylist() for x in ("token", "i", "j", "k", "sid", "n", "component", "bits")), strict=True):
                 if (token, i, j) != unit:
-                    pairs |= found()
+                    pairs += found()
                     unit, left, right = (token, i, j), [], []
-                (left if k == i else right).append((sid, n, c, int.from_bytes(bits, "big")))
-            both = list(pairs)
-            yield pa.record_batch([pa.array([p[x] for p in both], pa.int64()) for x in range(2)], names=["a", "b"])
-        both = list(found())
-        yield pa.record_batch([pa.array([p[x] for p in both], pa.int64()) for x in range(2)], names=["a", "b"])
+                (left if k == i else right).append(leaf(sid, n, c, bits, percent))
+            yield batch(pairs)
+        yield batch(found())
+
+    dealt = ready.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(rows, "a long, b long, n_a long, n_b long")
+    return dealt.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+
+
+def pruned(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that the leaves' bound leaves."""
+    side = lambda name: meta.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = zip(*(b.column(c).to_pylist() for c in ("a", "n_a", "bits_a", "b", "n_b", "bits_b")), strict=True)
+            kept = [(x.sid, y.sid) for a, n, bits, c, m, more in cols if may_link(x := leaf(a, n, None, bits, percent), y := leaf(c, m, None, more, percent), percent)]
+            yield pa.record_batch([pa.array([k[i] for k in kept], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return ready.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(rows, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(rows, "a long, b long")
 
 
 # ------------------------------------------------------------------ the join
@@ -312,25 +418,29 @@ def tree_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``doc_id, t, n, sid, root`` of every document; ``t``: hash of the text, ``root``: the least class that its class reaches."""
     own = sources_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = written(classes(own, size), "classes")
-    dealt = written(blocks(own, size, percent), "blocks")
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(own, size))
+    named = written(classes(own, counts, size, percent), "classes")
+    meta = written(named.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("who"), F.min("n").alias("n"), F.min("bits").alias("bits")), "class-bits")
+    dealt = written(blocks(own, counts, size, percent), "blocks")
 
     # First each block's least class against the others.
     pivots = dealt.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("p"))
     first = dealt.join(pivots, "token").where("sid <> p.sid").where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-    first = written(first.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct(), "pivot-pairs")
-    sets = written(sets_of(own, named, first.select(F.explode(F.array("a", "b")).alias("sid")), size), "sets")
+    first = written(pruned(first.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct(), meta, percent), "pivot-pairs")
+    sets = sets_of(own, meta, first.select(F.explode(F.array("a", "b")).alias("sid")), size)
     links = written(verify(first, sets, percent), "pivot-links")
     found = components(links)
 
     # Then trees over the blocks that hold more than one component.
-    held = dealt.join(found.withColumnRenamed("id", "sid"), "sid", "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("component"))
+    held = dealt.join(found.withColumnRenamed("id", "sid"), "sid", "left").select("token", "sid", F.coalesce("root", "sid").alias("component"))
     held = written(held, "held")
     open_ = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rest = written(held.join(open_, "token"), "open-blocks")
-    more = written(sets_of(own, named, rest.select("sid"), size), "sets")
-    pairs = tree_pairs(rest, more, percent).join(first, ["a", "b"], "left_anti")
-    late = verify(pairs, more, percent)
+    met = tree_pairs(held.join(open_, "token"), meta, percent)
+    # shared_least for two sizes, in integers.
+    total, high = F.col("n_a") + F.col("n_b"), F.greatest("n_a", "n_b")
+    least = F.ceil(F.lit(percent) * total / (100 + percent)) - F.ceil(F.lit(percent) * high / 100) + 1
+    pairs = written(met.where(F.col("shared") >= least).select("a", "b").join(first, ["a", "b"], "left_anti"), "tree-pairs")
+    late = verify(pairs, sets_of(own, meta, pairs.select(F.explode(F.array("a", "b")).alias("sid")), size), percent)
     found = components(links.unionByName(late))
 
     return named.join(found.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", "t", "n", "sid", F.coalesce("root", "sid").alias("root"))
