@@ -13,7 +13,9 @@ from basaltiq.llm.queries import tokenizer_path
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail the base rules or the likelihood ratio go."""
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
-    return quality_rules.judge(whole, table(spark, sf_dir, "labels"), keep=("whole_row",)).where("kept").select("whole_row.*")
+    judged = quality_rules.judge(whole, table(spark, sf_dir, "labels"), keep=("whole_row",))
+    # A row number keeps the filter above the verdict: pushed below, it would repeat all its nested expressions.
+    return judged.withColumn("row_number", F.monotonically_increasing_id()).where("kept and row_number >= 0").select("whole_row.*")
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
