@@ -1,9 +1,10 @@
 """Quality rules: counted base rules, then a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Uni- and bigrams of words are hashed into ``n_buckets``. Two multinomials over the buckets, one of the trusted
-documents and one of the whole corpus, each mixed with the uniform one, give every bucket a log ratio; a document's
-score is the mean over its n-grams, and one fixed threshold decides. The model has ``n_buckets`` numbers whatever the
-size of the corpus; counting combines on the map side, so the shuffle carries at most ``n_buckets`` rows a task.
+Uni- and bigrams of words are hashed into buckets. Two multinomials over the buckets, one of the trusted documents and
+one of the whole corpus, each mixed with the uniform one, give every bucket a log ratio; a document's score is the mean
+over its n-grams, and one fixed threshold decides. The buckets grow with the distinct n-grams, ``LOAD`` to a bucket, so
+that rare n-grams do not drown the ratios of the common ones and one threshold means the same at every size. The model
+is a written table, broadcast up to ``MODEL_ROWS`` buckets and joined by shuffle beyond.
 
 Defined results: a null or empty text has no words and fails the base rules; without a trusted document (empty or null
 labels) every ratio is 0 and the base rules alone decide; repeated rows are judged each alike and count each.
@@ -11,16 +12,19 @@ labels) every ratio is 0 and the base rules alone decide; repeated rows are judg
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltiq.llm.common import BROADCAST_ROWS, let, sources_of
+from basaltiq.llm.common import BROADCAST_ROWS, let, sources_of, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
+#: Distinct n-grams a bucket; fewer let n-grams of one document decide, more let collisions hide the marked words.
+LOAD = 44
+#: Buckets that may be broadcast, as rows of a long and a double.
+MODEL_ROWS = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -76,29 +80,39 @@ def with_base_rules(docs: DataFrame, *cols: str) -> DataFrame:
     return base.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, *, n_buckets: int, uniform: float) -> np.ndarray:
-    """The model: log p(bucket | trusted) - log p(bucket | corpus), from all rows. ``n_buckets`` rows reach the driver."""
+def _grams(docs: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` and ``g``: a row for each uni- and bigram of each text."""
+    return with_gram_hashes(docs, *cols).select(*cols, F.explode(F.concat("g1", "g2")).alias("g"))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, *, n_buckets: int, uniform: float) -> tuple[DataFrame, int]:
+    """The model, ``bucket, ratio``: log p(bucket | trusted) - log p(bucket | corpus), from all rows; and its number of
+    buckets, ``n_buckets`` at least. Three totals reach the driver."""
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
     side = F.broadcast(trusted) if trusted.count() <= BROADCAST_ROWS else trusted
-    grams = with_gram_hashes(docs.join(side, "doc_id", "left"), "trusted").select("trusted", F.explode(F.concat("g1", "g2")).alias("g"))
-    counts = grams.groupBy(F.pmod("g", F.lit(n_buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()
-    raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
-    for r in counts:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    if not target.sum():
-        return np.zeros(n_buckets)
-    p = lambda c: (1 - uniform) * c / c.sum() + uniform / n_buckets
-    return np.round(np.log(p(target)) - np.log(p(raw)), 9)
+    grams = _grams(docs.join(side, "doc_id", "left"), "trusted")
+    total = grams.agg(F.approx_count_distinct("g").alias("grams"), F.count("*").alias("raw"), F.count("trusted").alias("target")).first()
+    n = max(n_buckets, total["grams"] // LOAD)
+    counts = grams.groupBy(F.pmod("g", F.lit(n)).alias("bucket")).agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    p = lambda c: F.lit(1 - uniform) * F.col(c) / F.lit(total[c]) + F.lit(uniform / n)
+    ratio = F.round(F.log(p("target")) - F.log(p("raw")), 9) if total["target"] else F.lit(0.0)
+    return written(counts.select("bucket", ratio.alias("ratio")), "quality_ratios"), n
+
+
+def scores(docs: DataFrame, model: DataFrame, n: int) -> DataFrame:
+    """``text_h1, text_h2, mean``: the mean ratio over the n-grams of each distinct text; copies do not change a mean."""
+    side = F.broadcast(model) if n <= MODEL_ROWS else model
+    rows = _grams(docs, "text_h1", "text_h2").withColumn("bucket", F.pmod("g", F.lit(n))).join(side, "bucket")
+    return written(rows.groupBy("text_h1", "text_h2").agg(F.avg("ratio").alias("mean")), "quality_scores")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 8192, uniform: float = 0.1, threshold: float = -0.1, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the base columns, ``score`` and ``kept`` for every document, with the columns named in ``keep``."""
     docs = sources_of(docs, *dict.fromkeys(("doc_id", "text", *keep)))
-    ratios = log_ratios(docs.select("doc_id", "text"), labels, n_buckets=n_buckets, uniform=uniform)
-    base = with_base_rules(docs, "doc_id", *[c for c in keep if c != "doc_id"])
-    # Constant folding turns this into one array literal; F.lit(array) would cross to the JVM once a number.
-    model, zero = F.split(F.lit(",".join(map(repr, ratios.tolist()))), ",").cast("array<double>"), F.lit(0.0)
-    total = F.aggregate(F.concat("g1", "g2"), zero, lambda acc, g: acc + F.get(model, F.pmod(g, F.lit(n_buckets)).cast("int")))
-    scored = base.withColumn("score", F.when(F.col("base_failed"), F.lit(None).cast("double")).otherwise(F.round(total / (F.size("g1") + F.size("g2")), 6)))
-    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False))).drop("g1", "g2")
-
+    model, n = log_ratios(docs.select("doc_id", "text"), labels, n_buckets=n_buckets, uniform=uniform)
+    docs = docs.withColumns({"text_h1": F.xxhash64("text"), "text_h2": F.xxhash64(F.lit(1), "text")})
+    means = scores(docs.select("text", "text_h1", "text_h2"), model, n)
+    base = with_base_rules(docs, "doc_id", *[c for c in keep if c != "doc_id"], "text_h1", "text_h2").drop("g1", "g2")
+    found = base.join(F.broadcast(means) if means.count() <= BROADCAST_ROWS else means, ["text_h1", "text_h2"], "left").drop("text_h1", "text_h2")
+    scored = found.withColumn("score", F.when(F.col("base_failed"), F.lit(None).cast("double")).otherwise(F.round("mean", 6))).drop("mean")
+    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False)))

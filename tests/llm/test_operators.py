@@ -117,6 +117,22 @@ def test_quality_rules_reject_marked_words(spark):
     assert all(got[k] for k in range(60)) and not any(got[k] for k in range(60, 72))
 
 
+def test_quality_rules_model_grows_with_the_corpus(spark, monkeypatch):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    clean = [" ".join(word() if k % 4 else r.choice(("the", "of", "and")) for k in range(200)) for _ in range(300)]
+    junk = [" ".join(word() + ("" if k % 4 else " ***") for k in range(160)) for _ in range(30)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    docs = table(spark, clean + junk + [clean[0], junk[0]])
+    verdicts = lambda: {x.doc_id: (x.kept, x.score) for x in quality_rules.judge(docs, labels, n_buckets=64).collect()}
+    got = verdicts()
+    assert {k for k, (kept, _) in got.items() if not kept} == {*range(300, 330), 331}
+    assert got[330] == got[0] and got[331] == got[300] and len(got) == 332
+    monkeypatch.setattr(quality_rules, "MODEL_ROWS", 0)
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    assert verdicts() == got
+
+
 def test_decontamination(spark, corpus):
     texts, passage = corpus
     items = [(1, passage), (2, "one two"), (3, None), (4, ""), (10, passage.upper()), (None, "w1"), (5, "naïve")]
