@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset only a local session, whose
+    executors see the driver's folders, gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="basaltiq-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,6 +46,12 @@ def written(df: DataFrame, name: str, *, partition_by: str | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_by_file(manifest: DataFrame) -> DataFrame:
+    """As many partitions as the manifest has files, a file each. The number is given, so that adaptive execution does not
+    join them by the manifest's few bytes; ranges of that number are even, where hashes would leave gaps."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "path")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is much faster than ``translate`` and agrees with it on ASCII text."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

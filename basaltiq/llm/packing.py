@@ -25,25 +25,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basaltiq.llm.common import sources_of, written
-from basaltiq.llm.tokens import encoder
+from basaltiq.llm.tokens import encoder, parts
 
 UNIT = 1 << 30
 CHAIN = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, *, keeps_blanks: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """``doc_id, source, n, ids``: ids as little-endian unsigned 16-bit integers (32-bit where one is larger), end id last."""
-    tail = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, keeps_blanks).encode
+        encode = encoder(path).encode
         for b in batches:
-            for k in range(0, b.num_rows, 1024):  # so that one batch of ids is small
-                part = b.slice(k, 1024)
-                ids = [np.frombuffer(x + tail, "<u4") for x in encode(part.column("text").to_pylist())]
-                small = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in ids]
-                yield pa.record_batch([part.column("doc_id"), part.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], names=["doc_id", "source", "n", "ids"])
+            at = 0
+            for texts in parts(b.column("text")):
+                ids, ends = encode(texts, end_id)
+                width = "<u2" if ids.max() < 65536 else "<u4"
+                packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends * int(width[-1])), pa.py_buffer(ids.astype(width))])
+                own = b.slice(at, len(texts))
+                yield pa.record_batch([own.column("doc_id"), own.column("source"), pa.array(np.diff(ends)), packed.cast(pa.binary())], names=["doc_id", "source", "n", "ids"])
+                at += len(texts)
 
     own = sources_of(docs, "doc_id", "source", "text")
     return own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(rows, "doc_id long, source string, n long, ids binary")

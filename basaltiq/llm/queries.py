@@ -55,7 +55,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2, keeps_blanks=False)
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2)
     return sstable.read_shards(manifest)
 
 

@@ -30,11 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basaltiq.llm.common import fresh_path, sources_of, written
+from basaltiq.llm.common import dealt_by_file, fresh_path, sources_of, written
 from basaltiq.llm.files import new_file, open_in, open_out
-from basaltiq.llm.tokens import encoder
+from basaltiq.llm.tokens import encoder, parts
 
 MAGIC, VERSION, RESTART = b"BSST", 1, 16
+#: Rows that a reader gives at once.
+BATCH = 4096
 FOOTER = struct.Struct("<QQQQQIB3x4s")
 
 
@@ -92,7 +94,7 @@ class TableWriter:
     """Takes entries in key order and writes blocks as they fill; memory: one block, the index and the keys."""
 
     def __init__(self, uri: str, block_bytes: int = 64 << 10) -> None:
-        self.uri, self.first, self.entries, self.offset = uri, None, 0, 0
+        self.uri, self.first, self.last, self.entries, self.offset = uri, None, None, 0, 0
         self._out, self._block_bytes = open_out(uri), block_bytes
         self._zstd = zstandard.ZstdCompressor(level=3)
         self._index: list[tuple[bytes, int, int, int]] = []
@@ -112,7 +114,7 @@ class TableWriter:
             self._restarts.append(len(self._block))
         self._block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.first = key if self.first is None else self.first
-        self._last = key
+        self._last = self.last = key
         self._keys.append(key)
         self.entries += 1
         self._in_block += 1
@@ -213,36 +215,45 @@ class TableReader:
         self._in.close()
 
 
-def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int, keeps_blanks: bool, shard_bytes: int = 64 << 20) -> DataFrame:
-    """Write shards in ascending ``doc_id`` order; the manifest ``path, first, entries, n_ids`` is a written table."""
+def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int, shard_bytes: int = 64 << 20, block_bytes: int = 64 << 10) -> DataFrame:
+    """Write shards in ascending ``doc_id`` order; the manifest ``path, first, last, entries, n_ids`` is a written table.
+
+    Ranges are cut by id and text, so that rows which repeat one id do not meet in one task.
+    """
     folder = fresh_path(docs.sparkSession, "sstable")
-    tail = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, n_ids, done = encoder(tokenizer, keeps_blanks).encode, None, 0, []
+        encode, writer, n_ids, done = encoder(tokenizer).encode, None, 0, []
+
+        def close() -> None:
+            writer.close()
+            done.append((writer.uri, writer.first, writer.last, writer.entries, n_ids))
+
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+            doc_ids, at = b.column("doc_id").to_pylist(), 0
+            for texts in parts(b.column("text")):
+                ids, ends = encode(texts, end_id)
+                # Ids below 65536 take two bytes; the first byte tells the width.
+                mark, width = (b"\2", "<u2") if ids.max() < 65536 else (b"\4", "<u4")
+                ids = ids.astype(width)
+                for doc_id, first, end in zip(doc_ids[at : at + len(texts)], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if writer is None:
-                        writer, n_ids = TableWriter(new_file(folder, ".sst")), 0
-                    value = np.frombuffer(ids + tail, "<u4")
-                    n_ids += len(value)
-                    # Ids below 65536 take two bytes; the first byte tells the width.
-                    writer.add(key_of(doc_id), b"\2" + value.astype("<u2").tobytes() if value.max() < 65536 else b"\4" + value.tobytes())
+                        writer, n_ids = TableWriter(new_file(folder, ".sst"), block_bytes), 0
+                    n_ids += end - first
+                    writer.add(key_of(doc_id), mark + ids[first:end].tobytes())
                     if writer.offset >= shard_bytes:
-                        writer.close()
-                        done.append((writer.uri, writer.first, writer.entries, n_ids))
+                        close()
                         writer = None
+                at += len(texts)
         if writer:
-            writer.close()
-            done.append((writer.uri, writer.first, writer.entries, n_ids))
-        kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
-        yield pa.record_batch([pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)], names=["path", "first", "entries", "n_ids"])
+            close()
+        kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)], names=["path", "first", "last", "entries", "n_ids"])
 
     own = sources_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(rows, "path string, first binary, entries long, n_ids long"), "sstable-manifest")
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = own.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ordered.mapInArrow(rows, "path string, first binary, last binary, entries long, n_ids long"), "sstable-manifest")
 
 
 def read_values(value: bytes) -> np.ndarray:
@@ -254,7 +265,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     The running sum goes over the manifest, one row for each shard of 64 MB.
     """
-    before = Window.orderBy("first", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first", "last", "path").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +276,14 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     ids = read_values(value)
                     made.append((id_of(key), start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
+                    if len(made) == BATCH:
+                        yield _rows_of(made)
+                        made = []
                 table.close()
-                yield pa.record_batch([pa.array([m[k] for m in made], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield _rows_of(made)
+
+    return dealt_by_file(based).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
 
-    # A hash of the path spreads shards evenly enough; each is read by one task.
-    return based.repartition(F.col("path")).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def _rows_of(made: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([m[k] for m in made], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])

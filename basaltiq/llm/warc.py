@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltiq.llm.common import fresh_path, sources_of, written
+from basaltiq.llm.common import dealt_by_file, fresh_path, sources_of, written
 from basaltiq.llm.files import new_file, open_in, open_out
 
 #: Fixed values of the WARC and Zstandard formats.
@@ -193,14 +193,14 @@ def read_archives(manifest: DataFrame, *, with_html: bool = True) -> DataFrame:
                     made.append((ident(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["warc-payload-length"]), ident(head.get("warc-refers-to")), html))
                     held += len(block)
                     count += 1
-                    if held >= 8 << 20:
+                    if held >= 8 << 20 or len(made) == 4096:
                         yield pa.record_batch([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=names)
                         made, held = [], 0
                 if count != expected:
                     raise ValueError(f"{path} has {count} records, {expected} were written")
                 yield pa.record_batch([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return manifest.repartition(F.col("path")).mapInArrow(rows, RECORDS)
+    return dealt_by_file(manifest).mapInArrow(rows, RECORDS)
 
 
 #: SQL has no base32: the hexadecimal digest's bits are cut into fives, each a letter of the base32 alphabet.

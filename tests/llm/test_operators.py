@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,7 +203,9 @@ def test_label_model_prefers_agreement():
 def test_warc(spark):
     rows = [(k, f"http://x/{k}\r\n", "same" if k % 3 == 0 else f"<p>{k}</p>" * (k % 9)) for k in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "é" * 70000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "refers_to": F.lit(2)})
-    got = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages, archive_bytes=20_000)).collect()}
+    manifest = warc.write_archives(pages.repartition(3), archive_bytes=20_000)
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count() > 1
+    got = {r.page_id: r for r in warc.read_archives(manifest).collect()}
     last = {}
     for i, _, h in rows:
         last[h or ""] = max(i, last.get(h or "", -1))
@@ -319,17 +322,25 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
 
 
-@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_pieces_give_the_ids_of_whole_texts(name, keeps):
+@pytest.mark.parametrize("special", [False, True])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_whole_texts(name, special, monkeypatch):
     from tokenizers import Tokenizer
 
     r = random.Random(5)
-    letters = [*"ab cde  \n\n\t'sÉé́ß\0\x1c\x85　<|endoftext|>12İΣς!*.  ", "\r\n", "'ll", " 's", "한"]
-    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)] + ["", "x" * 5000, "a b " * 2000]
+    letters = [*"ab cde  \n\n\t'sÉé́ß\0\x1c\x85　<|endoftext|>12İΣς!*.,  ", "\r\n", "'ll", " 's", "한", "<|endoftext|>", " <|endoftext|> ", "<|startoftext|>\n"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)] + ["", "x" * 5000, "a b " * 2000, None, "a <|endoftext|> b"]
     whole = Tokenizer.from_file(tokenizer_path(name))
-    whole.encode_special_tokens = True
-    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.PieceEncoder(tokenizer_path(name), keeps_blanks=keeps).encode(texts)] == want
+    whole.encode_special_tokens = special
+    want = [[*e.ids, 7] for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "_PART", 20_000)
+    for most in (1_000_000, 50):  # with all pieces remembered, and with few
+        monkeypatch.setattr(tokens, "_MOST_PIECES", most)
+        own, got = tokens.PieceEncoder(tokenizer_path(name), special_as_text=special), []
+        for part in tokens.parts(pa.array([None, *texts]).slice(1)):
+            ids, ends = own.encode(part, 7)
+            got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == want
 
 
 def test_packing(spark, corpus):
@@ -380,14 +391,15 @@ def test_sstable(spark, corpus):
     from tokenizers import Tokenizer
 
     texts, _ = corpus
-    manifest = sstable.write_shards(table(spark, texts).repartition(3), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2, keeps_blanks=False, shard_bytes=20_000)
+    manifest = sstable.write_shards(table(spark, texts).repartition(3), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2, shard_bytes=2_000, block_bytes=500)
     got = {r.doc_id: tuple(r)[1:] for r in sstable.read_shards(manifest).collect()}
+    assert sstable.read_shards(manifest).rdd.getNumPartitions() == manifest.count() > 1
     whole, at = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), 0
     for i, t in enumerate(texts):
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert sstable.read_shards(sstable.write_shards(table(spark, []), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2, keeps_blanks=False)).count() == 0
+    assert sstable.read_shards(sstable.write_shards(table(spark, []), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2)).count() == 0
 
 
 def test_sstable_lookup(tmp_path):
