@@ -3,8 +3,8 @@
 Documents are encoded once and dealt into groups of about ``group_tokens`` tokens. In a group each source has a queue
 and a deficit, in tokens times 2**30, exact integers. Every window of ``window`` tokens credits each source with its
 target share and is filled from the sources that are owed most, in turns of at least ``quantum`` tokens where the
-queue has them; what a window could not pay is carried to the next one. A group starts with what the groups before it
-in its chain of ``CHAIN`` groups left owing, which follows from token counts alone, so groups run in parallel.
+queue has them; what a window could not pay is carried to the next one. A group starts with what all groups before it
+left owing, which follows from token counts alone, so groups run in parallel.
 
 Each id lies in exactly one piece, a group leaves at most one window unfilled, and a document may span windows.
 
@@ -104,7 +104,25 @@ def fill(queues: dict[str, Queue], window: int, quantum: int) -> Iterator[list[t
         yield pieces
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, quantum: int = 64, group_tokens: int = 4_000_000, mixture: dict[str, float] | None = None) -> DataFrame:
+def claims(counts: DataFrame, shares: DataFrame) -> DataFrame:
+    """``gid, source, weight, owed``: what each source of a group is owed when the group begins, by all groups before it.
+
+    Running sums go over the groups of a chain, and over the chains' totals, so that no window holds more than ``CHAIN``
+    groups or a row for each chain.
+    """
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda w: F.coalesce(F.sum("n").over(earlier(w)), F.lit(0))
+    own = counts.withColumn("chain", F.floor(F.col("gid") / CHAIN))
+    groups = own.groupBy("chain", "gid").agg(F.sum("n").alias("n")).withColumn("all_in", so_far(Window.partitionBy("chain").orderBy("gid")))
+    chains = own.groupBy("chain").agg(F.sum("n").alias("n")).withColumn("all_before", so_far(Window.orderBy("chain")))
+    had_in = own.withColumn("had_in", so_far(Window.partitionBy("chain", "source").orderBy("gid")))
+    had = own.groupBy("chain", "source").agg(F.sum("n").alias("n")).withColumn("had_before", so_far(Window.partitionBy("source").orderBy("chain")))
+    found = had_in.drop("n").join(groups.drop("n"), ["chain", "gid"]).join(chains.drop("n"), "chain").join(had.drop("n"), ["chain", "source"]).join(shares, "source", "left")
+    weight = F.coalesce("weight", F.lit(0))
+    return found.select("gid", "source", weight.alias("weight"), (weight * (F.col("all_in") + F.col("all_before")) - (F.col("had_in") + F.col("had_before")) * F.lit(UNIT)).alias("owed"))
+
+
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, quantum: int = 256, group_tokens: int = 4_000_000, mixture: dict[str, float] | None = None) -> DataFrame:
     """A row for each piece (columns PIECES). ``mixture``: target shares by source; by default those of the corpus."""
     tokens = written(encoded(docs, tokenizer, end_id).withColumn("rid", F.monotonically_increasing_id()), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
@@ -118,14 +136,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048
     else:
         whole = sum(mixture.values())
         shares = docs.sparkSession.createDataFrame([(s, int(UNIT * v / whole)) for s, v in mixture.items()], "source string, weight long")
-    before = Window.orderBy("gid").rowsBetween(Window.unboundedPreceding, -1)
-    chain = F.floor(F.col("gid") / CHAIN)
-    groups = counts.groupBy("gid").agg(F.sum("n").alias("all")).withColumn("all_before", F.coalesce(F.sum("all").over(before.partitionBy(chain)), F.lit(0)))
-    # Every group lists every source of its chain, since one without documents here still has a claim on the next.
-    grid = groups.select("gid", "all_before", chain.alias("chain")).join(counts.select(chain.alias("chain"), "source").distinct(), "chain")
-    own = grid.join(counts, ["gid", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    own = own.withColumn("had", F.coalesce(F.sum("n").over(before.partitionBy("chain", "source")), F.lit(0)))
-    owed = own.where("n > 0").join(shares, "source", "left").select("gid", "source", F.coalesce("weight", F.lit(0)).alias("weight"), (F.coalesce("weight", F.lit(0)) * F.col("all_before") - F.col("had") * F.lit(UNIT)).alias("owed"))
+    owed = claims(counts, shares)
 
     def packed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         queues = {s: Queue(int(w), int(o)) for s, w, o in zip(right["source"], right["weight"], right["owed"], strict=True)}

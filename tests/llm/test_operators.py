@@ -366,6 +366,28 @@ def test_packing(spark, corpus):
     assert packing.pack(table(spark, []), tokenizer=tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_claims_pass_from_group_to_group(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHAIN", 3)
+    r = random.Random(6)
+    rows = [(g, s, r.randint(1, 500)) for g in range(20) for s in "abc" if s != "c" or g % 4 == 1]
+    weights = {"a": 600, "b": 300}
+    got = {(x.gid, x.source): (x.weight, x.owed) for x in packing.claims(spark.createDataFrame(rows, "gid long, source string, n long"), spark.createDataFrame(list(weights.items()), "source string, weight long")).collect()}
+    for g, s, _ in rows:
+        before = [(t, n) for h, t, n in rows if h < g]
+        assert got[g, s] == (weights.get(s, 0), weights.get(s, 0) * sum(n for _, n in before) - packing.UNIT * sum(n for t, n in before if t == s))
+
+
+def test_packing_keeps_proportions(spark):
+    """The target shares hold in every window until a queue runs dry."""
+    texts = [" ".join(f"w{k}{j}" for j in range(300)) for k in range(90)]
+    docs = spark.createDataFrame([(k, t, f"s{k % 3}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = packing.pack(docs, tokenizer=tokenizer_path("byte_bpe_50k.json"), window=512, quantum=32, mixture={"s0": 1, "s1": 1, "s2": 1}).toPandas()
+    got["source"] = got.doc_id % 3
+    share = got.groupby(["sequence_id", "source"]).length.sum().unstack(fill_value=0)
+    full = share[share.sum(axis=1) == 512]
+    assert len(full) > 50 and (full.sub(512 / 3).abs().max(axis=1) <= 96).mean() > 0.9
+
+
 def test_windows_keep_proportions():
     queues = {name: packing.Queue(int(share * packing.UNIT), 0) for name, share in (("a", 0.6), ("b", 0.3), ("c", 0.1))}
     for name, n in (("a", 60000), ("b", 30000), ("c", 10000)):
