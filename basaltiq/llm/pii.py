@@ -59,21 +59,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind number, end)``, in order."""
     found = [(s, 0, e) for s, e in emails(text)]
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m[0].split("."))]
     found += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if len(m[0]) > 11 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return sorted(found)
 
 
-#: Candidates: kind, pattern, and a text without which the pattern cannot match.
+#: Candidates: kind, pattern, and a lower-case text without which the pattern cannot match, whatever its case.
 CANDIDATES = (
     ("email", re.compile(r"(?i)\b[a-z0-9][a-z0-9._%+-]{0,63} ?(?:\[at\]|\(at\)| at ) ?[a-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[a-z]{2,24}\b"), "dot"),
     ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"), ""),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), "-"),
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), ""),
     ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?"), ""),
-    ("secret", re.compile(r"\bAKIA[0-9A-Z]{16}\b"), "AKIA"),
+    ("secret", re.compile(r"\bAKIA[0-9A-Z]{16}\b"), "akia"),
     ("secret", re.compile(r"(?i)\b(?:password|passwd|token|secret|api_?key) ?[=:] ?\"?[a-z0-9_\-]{8,}\"?"), ""),
+    ("secret", re.compile(r"\b(?:gh[pousr]_|sk-|xox[abp]-|glpat-)[A-Za-z0-9_-]{16,}"), ""),
 )
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|write|contact|reach|address)\b", "phone": r"(?i)\b(?:call|phone|tel|mobile|fax|contact|cell)\b", "ssn": r"(?i)\b(?:ssn|social|security|taxpayer)\b",
@@ -81,23 +82,41 @@ CONTEXT = {
 }
 CONTEXT = {k: re.compile(v) for k, v in CONTEXT.items()}
 COUNTER = re.compile(r"(?i)\b(?:version|isbn|page|order|figure|chapter|example|license|copyright|serial)\b")
-#: Top-level domains, secret names and given names that the gazetteer labeler knows.
+#: Values that stand where a secret would, in examples and templates.
+PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|dummy|sample|your|x{4}|\*{3}|0{6}|1234|password\b|secret\b|token\b")
+#: Given names and surnames that are frequent in the four languages.
+NAMES = frozenset(
+    """james john robert michael william david richard thomas mary patricia linda barbara elizabeth susan anna emma peter paul mark george laura sarah
+    smith jones brown miller davis wilson taylor clark lewis walker jean pierre marie louis claire sophie camille julien martin bernard dubois durand moreau
+    hans klaus karl heinz ursula monika petra sabine schmidt schneider fischer weber meyer wagner becker schulz jose juan carlos luis maria carmen ana
+    pedro garcia martinez lopez sanchez perez gomez rodriguez fernandez""".split()
+)
+#: What the gazetteer labeler says: top-level domains, area codes and number ranges in use, countries, names, vendors' prefixes.
 GAZETTEER = {
-    "email": re.compile(r"(?i)\b(?:com|org|net|edu|gov|io|de|fr|es|uk)$"), "phone": re.compile(r"^\(?[2-9][0-9]{2}"), "iban": re.compile(r"^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT)"),
-    "secret": re.compile(r"(?i)^(?:AKIA|password|passwd|token|secret|api_?key)"), "name": re.compile(r"\b(?:James|John|Mary|Anna|Peter|Paul|Maria|Laura|David|Thomas|Smith|Jones|Miller|Brown)\b"), "ssn": re.compile(r"^(?!000|666|9)"),
+    "email": lambda s: 1 if re.search(r"(?i)\b(?:com|org|net|edu|gov|io|de|fr|es|uk)$", s) else 0,
+    "phone": lambda s: 1 if re.match(r"\(?[2-9][0-9]{2}", s) else -1,
+    "iban": lambda s: 1 if re.match(r"(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT)", s) else -1,
+    "name": lambda s: 1 if any(w in NAMES for w in s.lower().split()[1:]) else 0,
+    "ssn": lambda s: 1 if re.match(r"(?!000|666|9)", s) else -1,
+    "secret": lambda s: -1 if PLACEHOLDER.search(re.split("[=:]", s, maxsplit=1)[-1]) else 1 if re.match(r"AKIA|gh[pousr]_|sk-|xox|glpat-", s) else 0,
 }
 STRICT = {
     "email": re.compile(r"(?i)[\[(]at[\])].*[\[(]dot[\])]"), "phone": re.compile(r"^\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}$|^([0-9]{3})([-.])[0-9]{3}\2[0-9]{4}$"), "ssn": re.compile(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"),
-    "iban": re.compile(r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4})+"), "name": re.compile(r"\. [A-Z][a-z]+ [A-Z][a-z]+$"), "secret": re.compile(r"^AKIA|[=:] ?\"?[0-9a-f]{16,}\"?$"),
+    "iban": re.compile(r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4})+"), "name": re.compile(r"\. [A-Z][a-z]+ [A-Z][a-z]+$"), "secret": re.compile(r"^(?:AKIA|gh[pousr]_|sk-|xox|glpat-)|[=:] ?\"?[0-9a-f]{16,}\"?$"),
 }
 LABELERS = 5
 
 
+def iban(s: str) -> bool:
+    """Whether the check digits are right."""
+    packed = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+
+
 def _checks(kind: str, s: str) -> int:
     """The checksum or shape labeler."""
     if kind == "iban":
-        packed = s.replace(" ", "")
-        return 1 if int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1 else -1
+        return 1 if 15 <= len(s.replace(" ", "")) <= 32 else -1
     if kind == "secret":
         tail = re.split("[=:]", s)[-1].strip(' "')
         return 1 if len(set(tail)) >= 8 and any(c.isdigit() for c in tail) else -1
@@ -111,16 +130,17 @@ def _checks(kind: str, s: str) -> int:
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, pattern)`` of candidates that overlap no base span; pattern: kind, votes, shape."""
     found, ends = [], -1
+    folded = text.lower()
     for kind, pattern, needs in CANDIDATES:
-        if needs and needs not in text and needs.upper() not in text:
+        if needs not in folded:
             continue
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, _, e in taken):
+            if any(s < m.end() and m.start() < e for s, _, e in taken) or (kind == "iban" and not iban(m[0])):
                 continue
             s, before = m[0], text[max(0, m.start() - 40) : m.start()]
             votes = (
                 1 if STRICT[kind].search(s) else -1,
-                1 if GAZETTEER[kind].search(s) else (-1 if kind in ("ssn", "phone", "iban") else 0),
+                GAZETTEER[kind](s),
                 1 if CONTEXT[kind].search(before) else 0,
                 -1 if COUNTER.search(before) else 0,
                 _checks(kind, s),
@@ -141,25 +161,30 @@ def _votes(pattern: str) -> list[int]:
     return ["-0+".index(c) - 1 for c in pattern.split("|")[1]]
 
 
-def estimate(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
-    """EM for conditionally independent labelers: the probability of each pattern. Counts weigh the patterns."""
+def posterior(patterns: list[str], prior: dict[str, float], right: np.ndarray) -> np.ndarray:
+    """The probability that each pattern's spans are personal data, for conditionally independent labelers."""
+    votes = np.array([_votes(p) for p in patterns])
+    odds = np.array([np.log(prior[k] / (1 - prior[k])) for k in (p.split("|")[0] for p in patterns)]) + votes @ np.log(right / (1 - right))
+    return 1 / (1 + np.exp(-odds))
+
+
+def estimate(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
+    """EM: how likely each kind's candidates are, and how often each labeler is right when it votes. Counts weigh the patterns."""
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
     votes = np.array([_votes(p) for p in names])
     kinds = np.array([p.split("|")[0] for p in names])
     right = np.full(LABELERS, 0.8)
-    prior = dict.fromkeys(set(kinds), 0.5)
-    p = np.full(len(names), 0.5)
+    prior = dict.fromkeys(kinds.tolist(), 0.5)
     for _ in range(rounds):
-        odds = np.array([np.log(prior[k] / (1 - prior[k])) for k in kinds]) + votes @ np.log(right / (1 - right))
-        p = 1 / (1 + np.exp(-odds))
+        p = posterior(names, prior, right)
         for j in range(LABELERS):
             spoke = votes[:, j] != 0
             agree = np.where(votes[:, j] > 0, p, 1 - p)
             # A beta prior of 8 right and 2 wrong votes keeps a rare labeler near its start.
             right[j] = np.clip((n[spoke] @ agree[spoke] + 8) / (n[spoke].sum() + 10), 0.55, 0.99)
         prior = {k: float(np.clip((n[kinds == k] @ p[kinds == k] + 1) / (n[kinds == k].sum() + 2), 0.02, 0.98)) for k in prior}
-    return dict(zip(names, p.tolist(), strict=True))
+    return prior, right
 
 
 def _features(pattern: str, kinds: list[str]) -> list[float]:
@@ -171,11 +196,10 @@ def train(patterns: dict[str, int], steps: int = 400) -> dict[str, float]:
     """The span classifier, fitted to the EM probabilities; as inputs are discrete it is given as a score by pattern."""
     if not patterns:
         return {}
-    soft = estimate(patterns)
     names = sorted(patterns)
     kinds = sorted({p.split("|")[0] for p in names})
     x = np.array([_features(p, kinds) for p in names])
-    y, n = np.array([soft[p] for p in names]), np.array([patterns[p] for p in names], float)
+    y, n = posterior(names, *estimate(patterns)), np.array([patterns[p] for p in names], float)
     n /= n.sum()
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -184,8 +208,11 @@ def train(patterns: dict[str, int], steps: int = 400) -> dict[str, float]:
     return dict(zip(names, (1 / (1 + np.exp(-x @ w))).tolist(), strict=True))
 
 
+OUT = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans", "has_personal_data")
+
+
 def find(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` of every document."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans, has_personal_data`` of every document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cand = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("kind", pa.string()), ("p", pa.string())]))
@@ -207,13 +234,15 @@ def find(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {k: i for i, k in enumerate((*KINDS, "ssn", "iban", "name", "secret"))}
         for b in batches:
-            digests, spans, added = [], [], []
+            digests, spans, added, total = [], [], [], []
             for base, more in zip(b.column("base").to_pylist(), b.column("more").to_pylist(), strict=True):
                 kept = [(c["s"], order[c["kind"]], f"{c['kind']}:{c['s']}:{c['e']}") for c in more if c["p"] in taken]
                 every = [(int((x := s.split(":"))[1]), order[x[0]], s) for s in base.split(",") if s] + kept
                 digests.append(hashlib.sha256(base.encode()).hexdigest())
                 spans.append(",".join(s for *_, s in sorted(every)))
                 added.append(len(kept))
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone")), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                total.append(len(every))
+            made = [pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(total, pa.int64()), pa.array([n > 0 for n in total], pa.bool_())]
+            yield pa.record_batch([*(b.column(c) for c in OUT[:5]), *made], names=list(OUT))
 
-    return scanned.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return scanned.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long, has_personal_data boolean")
