@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +39,8 @@ def stats(edges: DataFrame) -> DataFrame:
 
 
 def blast_radius(reached: DataFrame) -> DataFrame:
-    """``reached (id, depth)`` by reverse calls: nearer callers weigh more, ten points over the depth."""
-    score = F.round(F.least(F.lit(100.0), 10 * F.sum(F.when(F.col("depth") > 0, 1.0 / F.col("depth")))), 4)
+    """``reached (id, depth)`` by reverse calls: nearer callers weigh more, ten points over the depth; without callers 0."""
+    score = F.round(F.least(F.lit(100.0), 10 * F.coalesce(F.sum(F.when(F.col("depth") > 0, 1.0 / F.col("depth"))), F.lit(0.0))), 4)
     risk = F.when(F.col("score") >= 80, "critical").when(F.col("score") >= 60, "high").when(F.col("score") >= 40, "medium").otherwise("low")
     return reached.agg((F.count("*") - 1).alias("hit"), score.alias("score")).withColumn("risk", risk)
 
@@ -76,44 +72,35 @@ def dot(edges: DataFrame) -> DataFrame:
     return edges.agg(F.concat(F.lit("digraph {"), F.array_join(F.transform(rows, lambda x: x["line"]), "; "), F.lit("}")).alias("dot"))
 
 
-def betweenness(edges: DataFrame, *, sources: int | None = None, most_edges: int = 2_000_000) -> DataFrame:
-    """``id, score``: dependency sums of shortest paths, a task for each set of sources. The adjacency goes to every
-    task, so the number of edges is checked; ``sources`` limits the sources to those with the smallest hashes."""
-    n = edges.count()
-    if n > most_edges:
-        raise ValueError(f"{n} edges; at most {most_edges} can be sent to every task")
-    pairs = [(r["src"], r["dst"]) for r in edges.select("src", "dst").distinct().collect()]
-    sent = edges.sparkSession.sparkContext.broadcast(pairs)
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    chosen = ids if sources is None else ids.orderBy(F.xxhash64("id"), "id").limit(sources)
+def betweenness(edges: DataFrame, *, sources: int | None = None) -> DataFrame:
+    """``id, score``: dependency sums of shortest paths, from all vertices or from the ``sources`` with the smallest hashes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[int, list[int]] = {}
-        for a, b in sent.value:
-            out.setdefault(a, []).append(b)
-        for batch in batches:
-            total: dict[int, float] = {}
-            for s in batch["id"]:
-                dist, ways, before, order, queue = {s: 0}, {s: 1.0}, {}, [], deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in out.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            ways[w] = ways.get(w, 0.0) + ways[v]
-                            before.setdefault(w, []).append(v)
-                owed = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        owed[v] += ways[v] / ways[w] * (1 + owed[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + owed[w]
-            yield pd.DataFrame({"id": list(total), "score": list(total.values())}).astype({"id": "int64", "score": "float64"})
-
-    return chosen.mapInPandas(run, "id long, score double").groupBy("id").agg(F.round(F.sum("score"), 6).alias("score"))
+    Breadth-first levels hold ``(s, id, ways)`` for every source; then dependencies are summed up from the last level
+    to the first. Rows are sources times what they reach, dealt by vertex; nothing goes to the driver but counts.
+    """
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    ids = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    chosen = ids if sources is None else ids.orderBy(F.xxhash64("id"), "id").limit(sources)
+    level = cut(chosen.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("ways")))
+    levels, seen = [level], level.select("s", "id")
+    while True:
+        step = level.join(links, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("ways").alias("ways"))
+        level = cut(step.join(seen, ["s", "id"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = cut(seen.unionByName(level.select("s", "id")))
+    owed, found = None, None
+    for level in reversed(levels[1:]):
+        own = level.withColumn("owed", F.lit(0.0)) if owed is None else level.join(owed, ["s", "id"], "left").withColumn("owed", F.coalesce("owed", F.lit(0.0)))
+        own = cut(own)
+        found = own.select("id", "owed") if found is None else found.unionByName(own.select("id", "owed"))
+        before = levels[levels.index(level) - 1].select("s", F.col("id").alias("v"), F.col("ways").alias("ways_v"))
+        passed = own.join(links, F.col("id") == F.col("dst")).join(before, (own["s"] == before["s"]) & (F.col("src") == F.col("v")))
+        owed = passed.groupBy(own["s"], F.col("v").alias("id")).agg(F.sum(F.col("ways_v") / F.col("ways") * (1 + F.col("owed"))).alias("owed"))
+    if found is None:
+        return ids.select("id", F.lit(0.0).alias("score")).limit(0)
+    return found.groupBy("id").agg(F.round(F.sum("owed"), 6).alias("score"))
 
 
 def processes(edges: DataFrame, starts: DataFrame, *, branching: int, depth: int, least: int = 3, most: int = 75) -> DataFrame:

@@ -5,21 +5,29 @@ Loops collect only counts. Lineage is cut by tables written to the shared folder
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the folder in ``spark.checkpoint.dir`` and read back; set a folder only where none is (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a local session, whose executors see the driver's folders, may lack it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="basaltiq-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -95,28 +103,39 @@ def label_propagation(edges: DataFrame, *, rounds: int = 3) -> DataFrame:
     return labels
 
 
+def _mark(links: DataFrame) -> tuple:
+    """Number and hash of the rows, which no sum of large ids can overflow."""
+    return tuple(links.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+
+
 def weak_components(edges: DataFrame) -> DataFrame:
-    """``id, component``: least reachable vertex, by rounds of minimum labels with pointer jumping."""
-    both = cut(edges.select("src", "dst").unionByName(reverse(edges).select("src", "dst")).distinct())
-    labels = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
-    before = None
+    """``id, component``: least reachable vertex, by star contraction: larger neighbours hang on a vertex's least neighbour,
+    then smaller ones and the vertex itself do. The rounds are logarithmic in the vertices, whatever the diameter."""
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    links = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    before = _mark(links)
     while True:
-        labels = cut(labels)
-        now = labels.agg(F.sum("component")).first()[0]
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        links = cut(small.where("u <> v").distinct())
+        now = _mark(links)
         if now == before:
-            return labels
+            return ids.join(links, ids["id"] == links["u"], "left").select("id", F.coalesce("v", "id").alias("component"))
         before = now
-        near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("least"))
-        step = labels.join(near, labels["id"] == near["src"], "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"))
-        jump = step.select(F.col("id").alias("at"), F.col("component").alias("to"))
-        labels = step.join(jump, step["component"] == jump["at"], "left").select("id", F.least("component", F.coalesce("to", "component")).alias("component"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """``id, degree, triangles, coefficient`` over the simple undirected graph."""
     pairs = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    x, y, z = pairs.alias("x"), pairs.alias("y"), pairs.alias("z")
+    degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")))
+    # From the vertex of smaller degree to that of larger: a hub then has few outgoing edges, and wedges stay few.
+    end = lambda c: degree.select(F.col("id").alias(c), F.struct(F.col("degree"), F.col("id")).alias(f"d{c}"))
+    led = pairs.join(end("a"), "a").join(end("b"), "b").select(F.least("da", "db")["id"].alias("a"), F.greatest("da", "db")["id"].alias("b"))
+    led = cut(led)
+    x, y, z = led.alias("x"), led.alias("y"), led.alias("z")
     triangles = x.join(y, F.col("x.b") == F.col("y.a")).join(z, (F.col("z.a") == F.col("x.a")) & (F.col("z.b") == F.col("y.b")))
     each = triangles.select(F.explode(F.array("x.a", "x.b", "y.b")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
     t = F.coalesce("triangles", F.lit(0))

@@ -18,14 +18,46 @@ def keyset_page(df: DataFrame, key: str, after: int, size: int) -> DataFrame:
     return df.where(F.col(key) > after).orderBy(key).limit(size + 1)
 
 
+#: Rows of a group that meet each other in one unit of work.
+UNIT_ROWS = 1000
+#: Rows of a table of large groups that may be broadcast.
+MOST_LARGE = 1_000_000
+
+
+def _split(df: DataFrame, group: str) -> DataFrame:
+    """``df`` with ``_n``, the parts of its group, and ``_k``, the row's part; only groups over ``UNIT_ROWS`` have more than one."""
+    large = df.groupBy(group).agg(F.ceil(F.count("*") / UNIT_ROWS).cast("int").alias("_n")).where("_n > 1")
+    side = F.broadcast(large) if large.count() <= MOST_LARGE else large
+    rest = [c for c in df.columns if c != group]
+    found = df.join(side, group, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return found.withColumn("_k", F.pmod(F.xxhash64(*rest), F.col("_n")).cast("int"))
+
+
 def pairs_within(df: DataFrame, group: str, item: str, *, least: int = 1) -> DataFrame:
-    """``<item>_a, <item>_b, together``: pairs of items in common groups; ``df`` holds distinct (group, item)."""
-    a = df.select(group, F.col(item).alias(f"{item}_a"))
-    b = df.select(group, F.col(item).alias(f"{item}_b"))
-    pairs = a.join(b, group).where(F.col(f"{item}_a") < F.col(f"{item}_b"))
+    """``<item>_a, <item>_b, together``: pairs of items in common groups; ``df`` holds distinct (group, item).
+
+    Items in fewer than ``least`` groups leave first. A large group is cut into parts, and each pair of parts is a unit
+    of its own, so that no task squares a group.
+    """
+    if least > 1:
+        often = df.groupBy(item).agg(F.count("*").alias("_often")).where(F.col("_often") >= least).select(item)
+        df = df.join(often, item).select(group, item)
+    own = _split(df.select(group, item), group)
+    to = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = own.select(group, F.col(item).alias(f"{item}_a"), F.col("_k").alias("_i"), to.alias("_j"))
+    b = own.select(group, F.col(item).alias(f"{item}_b"), to.alias("_i"), F.col("_k").alias("_j"))
+    pairs = a.join(b, [group, "_i", "_j"]).where(F.col(f"{item}_a") < F.col(f"{item}_b"))
     return pairs.groupBy(f"{item}_a", f"{item}_b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 
+def shared_tokens(left: DataFrame, right: DataFrame, token: str, a: str, b: str, *, least: int) -> DataFrame:
+    """``a, b, shared``: pairs over two tables of distinct (token, a) and (token, b). The left rows of a frequent token are cut into parts."""
+    own = _split(left.select(token, a), token).drop("_n")
+    parts = own.select(token, "_k").distinct()
+    pairs = own.join(right.join(parts, token), [token, "_k"])
+    return pairs.groupBy(a, b).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
 def within(df: DataFrame, key: str, ts: str, ident: str, *, minutes: int) -> DataFrame:
     """``earlier, later``: rows of one key at most ``minutes`` apart. Joined on the time slot and its next one, so work
     grows with true neighbours and not with the square of a key's rows."""

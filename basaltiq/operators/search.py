@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basaltiq.functions.text import cosine, glob_to_regex, occurrences, snippet, words
+from basaltiq.functions.text import glob_to_regex, occurrences, snippet, words
 from basaltiq.plans.dsl import boolean_column, detect_mode, parse_boolean, safe_pattern
 
 
@@ -54,7 +55,12 @@ def fuzzy(df: DataFrame, field: str, word: str, threshold: float = 0.6) -> DataF
 
         return texts.map(one)
 
-    return df.withColumn("score", ratio(F.col(field))).where(F.col("score") >= threshold)
+    # No text beyond these bounds can reach the threshold; only the others leave the JVM.
+    n, own = F.length(F.lower(F.col(field))), word.lower()
+    text = F.lower(F.col(field))
+    common = reduce(lambda x, y: x + y, [F.least(n - F.length(F.replace(text, F.lit(c), F.lit(""))), F.lit(own.count(c))) for c in sorted(set(own))], F.lit(0))
+    near = df.where(2 * F.least(n, F.lit(len(own))) >= threshold * (n + len(own))).where(2 * common >= threshold * (n + len(own)))
+    return near.withColumn("score", ratio(F.col(field))).where(F.col("score") >= threshold)
 
 
 def search(df: DataFrame, query: str, field: str) -> DataFrame:
@@ -77,10 +83,44 @@ def bm25(docs: DataFrame, ident: str, text: str, terms: list[str], *, k1: float
     return j.groupBy(ident).agg(F.round(F.sum(part), 5).alias("score"))
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """``vec_id, score`` of the k most similar vectors: a scan and a bounded top-k."""
-    target = F.array(*map(F.lit, query))
-    return vectors.select("vec_id", F.round(cosine(F.col("embedding"), target), 4).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
+    """``query, vec_id, score``: the k most similar vectors to each query vector, by cosine, exact.
+
+    Queries go out in blocks of ``block``; each block is one pass in which every task keeps the best k of each query, so what
+    is shuffled is k rows a query and task. The driver holds one block.
+    """
+    parts = max(1, -(-queries.count() // block))
+    found = [_nearest_block(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i), k) for i in range(parts)]
+    merged = reduce(DataFrame.unionByName, found)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def _nearest_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("vec_id", "embedding").collect()
+    if not rows:
+        return vectors.select(F.col("vec_id").cast("long").alias("query"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    ids, target = [r["vec_id"] for r in rows], _unit(np.array([r["embedding"] for r in rows], float))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            raw = _unit(np.array(b["embedding"].tolist(), float)) @ target.T
+            score = np.copysign(np.floor(np.abs(raw) * 1e4 + 0.5), raw).T / 1e4
+            score = np.concatenate([held[0], score], axis=1)
+            vec = np.concatenate([held[1], np.broadcast_to(b["vec_id"].to_numpy(np.int64), (len(ids), len(b)))], axis=1)
+            order = np.lexsort((vec, -score), axis=1)[:, :k]
+            held = np.take_along_axis(score, order, axis=1), np.take_along_axis(vec, order, axis=1)
+        yield pd.DataFrame({"query": np.repeat(np.array(ids, np.int64), held[0].shape[1]), "vec_id": held[1].ravel(), "score": held[0].ravel() + 0.0})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(best, "query long, vec_id long, score double")
 
 
 def hashed_vector(docs: DataFrame, ident: str, text: str, dim: int = 128) -> DataFrame:
@@ -133,14 +173,35 @@ def federated(spark: SparkSession, sf_dir: str, query: str, providers: dict[str,
     return merged.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= limit)
 
 
-INTENTS = {"find": r"(find|where|locate|search)", "explain": r"(explain|what|how|why)", "refactor": r"(refactor|rename|move|extract)", "test": r"(test|assert|coverage)", "debug": r"(debug|error|fix|bug)", "document": r"(document|docstring|readme)", "impact": r"(impact|depend|affect|break)"}
+#: Triggers of each intent, and words of queries that are not about code.
+INTENTS = {
+    "trace_bug": ["trace", "flow", "execution path", "call chain", "how does.*work", "where.*crash", "why.*fail", "debug", "stack trace", "error path"],
+    "understand_feature": ["how does", "explain", "overview of", "understand", "what does.*do", "architecture of", "design of", "structure of"],
+    "find_usage": ["called by", "used in", "used by", "referenced by", "imported by", "where is", "where are", "find usages", "find callers", "find callees", "who calls", "who uses", "who imports"],
+    "check_impact": ["impact", "what breaks", "change.*affect", "modify.*effect", "rename.*impact", "refactor.*risk", "blast radius", "before.*change", "safe to.*(change|delete|remove|rename)"],
+    "architecture_overview": ["architecture", "module", "dependency", "overview", "component", "layer", "boundary", "service.*map", "system.*design", "how.*organize", "project structure"],
+    "find_code": ["find", "search", "locate", "where is", "show me", "look for", "get the.*(file|class|function|method)"],
+    "explain_error": ["error", "exception", "traceback", "crash log", "stack trace", "failed", "broken", "not working", "bug report"],
+}
+NON_CODE = ["weather", "news", "sports", "movie", "recipe", "cooking", "hello", "hi there", "how are you", "who are you", "joke", "poem", "story", "song"]
 
 
 def intent(df: DataFrame, text: str, least: float = 0.15) -> DataFrame:
-    """The intent whose first match is the largest part of the query, twice that part at most 1; ``general`` below ``least``."""
-    score = lambda p: F.least(F.lit(1.0), 2.0 * F.length(F.regexp_extract(F.lower(F.col(text)), p, 1)) / F.greatest(F.length(F.col(text)), F.lit(1)))
-    best = F.array_max(F.array(*[F.struct(score(p).alias("s"), F.lit(n).alias("name")) for n, p in INTENTS.items()]))
-    return df.withColumn("_b", best).withColumn("intent", F.when(F.col("_b.s") >= least, F.col("_b.name")).otherwise("general")).withColumn("confidence", F.round("_b.s", 6)).drop("_b")
+    """All columns, ``intent`` and ``confidence``: the intent with the longest trigger match, twice its share of the query at most
+    1, the first on ties. Below ``least`` it is ``find_code`` at 0.3; a query about something else is ``non_code`` at 0.9."""
+    q = F.regexp_replace(F.col(text), r"^[ \t-\r]+|[ \t-\r]+$", "")
+    own = df.withColumn("_q", q)
+    share = lambda t: F.least(F.lit(1.0), 2.0 * F.length(F.regexp_extract("_q", f"(?i){t}", 0)) / F.greatest(F.length("_q"), F.lit(1)))
+    for k, triggers in enumerate(INTENTS.values()):
+        own = own.withColumn(f"_s{k}", F.greatest(*map(share, triggers)))
+    own = own.withColumn("_best", F.greatest(*(f"_s{k}" for k in range(len(INTENTS)))))
+    empty, other, low = F.col("_q") == "", F.col("_q").rlike(f"(?i){'|'.join(NON_CODE)}"), F.col("_best") < least
+    name = F.lit("find_code")
+    for k, intent_name in reversed(list(enumerate(INTENTS))):
+        name = F.when(F.col(f"_s{k}") == F.col("_best"), intent_name).otherwise(name)
+    own = own.withColumn("intent", F.when(empty, "find_code").when(other, "non_code").when(low, "find_code").otherwise(name))
+    own = own.withColumn("confidence", F.round(F.when(empty, 0.0).when(other, 0.9).when(low, 0.3).otherwise(F.col("_best")), 6))
+    return own.drop("_q", "_best", *(f"_s{k}" for k in range(len(INTENTS))))
 
 
 def content_matches(docs: DataFrame, pattern: str) -> DataFrame:

@@ -11,14 +11,19 @@ from basaltiq.sources.tables import call_edges, call_edges_sql, read
 
 Q = CORE.query
 CG = call_edges_sql()
-SMALL = call_edges_sql(45)
 SEED = "(SELECT min(src) FROM edges)"
+#: The function that most others call; it has callers.
+CALLED = "(SELECT dst FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
 
 
 def _seed(edges: DataFrame) -> DataFrame:
     return edges.agg(F.min("src").alias("id"))
 
 
+def _called(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+
+
 @Q(f"WITH {CG} SELECT dst AS callee, weight FROM edges WHERE src = {SEED}")
 def direct_callees(spark: SparkSession, d: str) -> DataFrame:
     e = graph.cut(call_edges(spark, d))
@@ -31,10 +36,10 @@ def transitive_callees(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(e, _seed(e)).select("id")
 
 
-@Q(f"WITH RECURSIVE {CG}, r(id, depth) AS (SELECT {SEED}, 0::BIGINT UNION SELECT src, depth + 1 FROM edges JOIN r ON dst = id WHERE depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
+@Q(f"WITH RECURSIVE {CG}, r(id, depth) AS (SELECT {CALLED}, 0::BIGINT UNION SELECT src, depth + 1 FROM edges JOIN r ON dst = id WHERE depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
 def bounded_callers(spark: SparkSession, d: str) -> DataFrame:
     e = graph.cut(call_edges(spark, d))
-    return graph.reach(graph.reverse(e), _seed(e), depth=3)
+    return graph.reach(graph.reverse(e), _called(e), depth=3)
 
 
 @Q(f"WITH RECURSIVE {CG}, r(path, len) AS (SELECT [{SEED}], 0::BIGINT UNION ALL SELECT list_append(path, dst), len + 1 FROM edges JOIN r ON src = path[-1] WHERE len < 3 AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path, len FROM r WHERE len > 0")
@@ -126,37 +131,42 @@ def god_node_audit(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.god_nodes(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size")), graph.cut(call_edges(spark, d)), least=5)
 
 
-@Q(f"""WITH {SMALL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)
+@Q(f"""WITH {CG}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)
 SELECT a.src::VARCHAR || '>' || a.dst AS path, 2::BIGINT AS len FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
 UNION ALL SELECT a.src::VARCHAR || '>' || a.dst || '>' || b.dst, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst
 UNION ALL SELECT a.src::VARCHAR || '>' || a.dst || '>' || b.dst || '>' || c.dst, 4 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src JOIN e f ON c.dst = f.src AND f.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst""")
 def simple_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.cycles(graph.cut(call_edges(spark, d, 45)), 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "len")
+    return graph.cycles(graph.cut(call_edges(spark, d)), 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "len")
 
 
 def _labels_sql(rounds: int) -> str:
     steps = [f"l{k} AS (SELECT src AS id, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY sum(weight) DESC, label) AS r FROM both_ JOIN l{k - 1} ON dst = id GROUP BY src, label) WHERE r = 1)" for k in range(1, rounds + 1)]
-    return f"""WITH {SMALL}, both_ AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE src <> dst GROUP BY 1, 2),
+    return f"""WITH {CG}, both_ AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE src <> dst GROUP BY 1, 2),
 l0 AS (SELECT DISTINCT src AS id, src AS label FROM both_), {", ".join(steps)}"""
 
 
 @Q(_labels_sql(3) + " SELECT id, label FROM l3")
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return graph.label_propagation(graph.cut(call_edges(spark, d, 45)))
+    return graph.label_propagation(graph.cut(call_edges(spark, d)))
 
 
 @Q(_labels_sql(3) + """, deg AS (SELECT src AS id, count(*) AS n FROM both_ GROUP BY 1), x AS (SELECT e.src, e.dst, 0.1 + CASE WHEN a.label <> b.label THEN 0.5 ELSE 0 END + CASE WHEN least(p.n, q.n) <= 2 AND greatest(p.n, q.n) >= 5 THEN 0.4 ELSE 0 END AS score
 FROM edges e JOIN l3 a ON e.src = a.id JOIN l3 b ON e.dst = b.id JOIN deg p ON e.src = p.id JOIN deg q ON e.dst = q.id WHERE e.src <> e.dst)
 SELECT src, dst, round(score, 4) AS score FROM x WHERE score > 0.4 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def surprising_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.cut(call_edges(spark, d, 45))
+    e = graph.cut(call_edges(spark, d))
     return callgraph.surprises(e, graph.label_propagation(e), hub=5).orderBy(F.desc("score"), "src", "dst").limit(10)
 
 
-@Q(f"""WITH RECURSIVE {SMALL}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(id, o) AS (SELECT src, src FROM b UNION SELECT b.dst, r.o FROM r JOIN b ON b.src = r.id)
-SELECT id, min(o) AS component FROM r GROUP BY 1""")
+def _components_sql(rounds: int) -> str:
+    """Least labels spread over one edge a round; ``rounds`` exceeds any diameter here."""
+    steps = [f"l{k} AS MATERIALIZED (SELECT a.id, least(a.o, min(b.o)) AS o FROM l{k - 1} a JOIN b_ ON b_.src = a.id JOIN l{k - 1} b ON b_.dst = b.id GROUP BY a.id, a.o)" for k in range(1, rounds + 1)]
+    return f"WITH {CG}, b_ AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT DISTINCT src AS id, src AS o FROM b_), {', '.join(steps)} SELECT id, o AS component FROM l{rounds}"
+
+
+@Q(_components_sql(40))
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.weak_components(graph.cut(call_edges(spark, d, 45)))
+    return graph.weak_components(graph.cut(call_edges(spark, d)))
 
 
 @Q(f"""WITH {CG}, p AS (SELECT DISTINCT least(src, dst) a, greatest(src, dst) b FROM edges WHERE src <> dst), deg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY 1),
@@ -171,11 +181,11 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.stats(graph.cut(call_edges(spark, d)))
 
 
-@Q(f"""WITH RECURSIVE {CG}, r(id, depth) AS (SELECT {SEED}, 0::BIGINT UNION SELECT src, depth + 1 FROM edges JOIN r ON dst = id WHERE depth < 4), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1),
-x AS (SELECT count(*) - 1 AS hit, round(least(100, 10 * sum(1.0 / depth) FILTER (WHERE depth > 0)), 4) AS score FROM m) SELECT hit, score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS risk FROM x""")
+@Q(f"""WITH RECURSIVE {CG}, r(id, depth) AS (SELECT {CALLED}, 0::BIGINT UNION SELECT src, depth + 1 FROM edges JOIN r ON dst = id WHERE depth < 4), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1),
+x AS (SELECT count(*) - 1 AS hit, round(least(100, 10 * coalesce(sum(1.0 / depth) FILTER (WHERE depth > 0), 0)), 4) AS score FROM m) SELECT hit, score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS risk FROM x""")
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     e = graph.cut(call_edges(spark, d))
-    return callgraph.blast_radius(graph.reach(graph.reverse(e), _seed(e), depth=4))
+    return callgraph.blast_radius(graph.reach(graph.reverse(e), _called(e), depth=4))
 
 
 @Q(f"""WITH {CG}, i AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1), x AS (SELECT p_partkey AS id, p_name AS name, coalesce(i.n, 0) AS callers, coalesce(o.n, 0) AS callees, p_size > 25 AS exported FROM part LEFT JOIN i ON i.id = p_partkey LEFT JOIN o ON o.id = p_partkey)
@@ -210,7 +220,7 @@ def variable_scope(spark: SparkSession, d: str) -> DataFrame:
 
 @Q()
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.betweenness(graph.cut(call_edges(spark, d, 45)))
+    return callgraph.betweenness(graph.cut(call_edges(spark, d)), sources=100)
 
 
 @Q()

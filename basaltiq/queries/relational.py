@@ -15,9 +15,9 @@ Q = CORE.query
 FIELDS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
 
-@Q("SELECT p_partkey, p_name FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') AND p_size BETWEEN 5 AND 20 AND p_retailprice >= 1000")
+@Q("SELECT p_partkey, p_name FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') AND p_size BETWEEN 5 AND 20 AND p_retailprice >= 905")
 def range_and_in_filter(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where(F.col("p_type").isin("ECONOMY", "STANDARD") & F.col("p_size").between(5, 20) & (F.col("p_retailprice") >= 1000)).select("p_partkey", "p_name")
+    return read(spark, d, "part").where(F.col("p_type").isin("ECONOMY", "STANDARD") & F.col("p_size").between(5, 20) & (F.col("p_retailprice") >= 905)).select("p_partkey", "p_name")
 
 
 DSL = {"and": [{"or": [{"field": "p_brand", "op": "glob", "value": "Brand#[12]?"}, {"field": "p_size", "op": ">", "value": 45}]}, {"not": {"field": "p_name", "op": "like", "value": "%1%"}}, {"field": "nonsense", "op": "=", "value": 1}]}
@@ -168,12 +168,12 @@ def timeline_pairs(spark: SparkSession, d: str) -> DataFrame:
     return relational.within(read(spark, d, "events"), "user_id", "ts", "event_id", minutes=30)
 
 
-@Q("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents WHERE lang = 'en' AND n_chars < 600)
-SELECT a.doc_id AS a_id, b.doc_id AS b_id, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2""")
+@Q("""WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark)
+SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (w) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def token_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").where("lang = 'en' AND n_chars < 600")
-    own = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})"), 1))).alias("w"))
-    return relational.pairs_within(own, "w", "doc_id", least=2).select(F.col("doc_id_a").alias("a_id"), F.col("doc_id_b").alias("b_id"), F.col("together").alias("shared"))
+    """Documents against benchmark items, two types of chunk, on all their words of four letters or more."""
+    words = lambda t, key: read(spark, d, t).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1))).alias("w"))
+    return relational.shared_tokens(words("documents", "doc_id"), words("benchmark", "item_id"), "w", "doc_id", "item_id", least=2)
 
 
 @Q("SELECT r_name, n_name FROM region, nation WHERE r_regionkey <> n_regionkey")
@@ -182,13 +182,13 @@ def cross_with_condition(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "region").crossJoin(read(spark, d, "nation")).where("r_regionkey <> n_regionkey").select("r_name", "n_name")
 
 
-@Q("""SELECT o_orderkey AS call_id, p_partkey AS target FROM orders JOIN part ON 'part ' || (o_orderkey % 50) = p_name WHERE o_orderkey <> p_partkey AND o_orderkey < 2000
-UNION ALL SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_orderkey % 97 = p_partkey WHERE o_orderkey <> p_partkey AND o_orderkey < 2000""")
+@Q("""WITH n AS (SELECT p_partkey, p_name || '/' || p_brand AS name FROM part) SELECT o_orderkey AS call_id, t.p_partkey AS target
+FROM orders JOIN n AS c ON o_custkey = c.p_partkey JOIN n AS t ON c.name = t.name WHERE t.p_partkey <> c.p_partkey""")
 def name_resolution_join(spark: SparkSession, d: str) -> DataFrame:
-    o, p = read(spark, d, "orders").where("o_orderkey < 2000"), read(spark, d, "part")
-    calls = o.select("o_orderkey", F.explode(F.array(F.concat(F.lit("part "), (F.col("o_orderkey") % 50).cast("string")), F.concat(F.lit("#"), (F.col("o_orderkey") % 97).cast("string")))).alias("name"))
-    names = p.select("p_partkey", F.explode(F.array("p_name", F.concat(F.lit("#"), F.col("p_partkey").cast("string")))).alias("name"))
-    return calls.join(names, "name").where("o_orderkey <> p_partkey").select(F.col("o_orderkey").alias("call_id"), F.col("p_partkey").alias("target"))
+    """Every call by a name to all symbols of that name but the caller's own."""
+    names = read(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_name", "p_brand").alias("name"))
+    calls = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("own")).join(names.select(F.col("p_partkey").alias("own"), "name"), "own")
+    return calls.join(names, "name").where("p_partkey <> own").select(F.col("o_orderkey").alias("call_id"), F.col("p_partkey").alias("target"))
 
 
 @Q("""SELECT l_orderkey AS ref, l_linenumber AS line, CASE WHEN l_suppkey = l_partkey % 100 THEN 1.0 WHEN s_suppkey IS NOT NULL THEN 0.8 WHEN p_partkey IS NOT NULL THEN 0.6 ELSE 0.0 END AS confidence

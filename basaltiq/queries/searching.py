@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basaltiq.functions.text import token_estimate
 from basaltiq.operators import search
+from basaltiq.plans.dsl import safe_pattern
 from basaltiq.registry import CORE
 from basaltiq.sources.tables import read
 
@@ -39,7 +40,7 @@ def boolean_search(spark: SparkSession, d: str) -> DataFrame:
 
 @Q()
 def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.fuzzy(read(spark, d, "part"), "p_name", "part 123").select("p_partkey", "score")
+    return search.fuzzy(read(spark, d, "part"), "p_name", "red plates").select("p_partkey", "score")
 
 
 @Q("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars BETWEEN 200 AND 2000 AND source IN ('src0', 'src3') AND lang <> 'de'")
@@ -60,9 +61,9 @@ def full_text_bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(read(spark, d, "documents"), "doc_id", "text", ["license", "version", "password"])
 
 
-@Q("SELECT p_partkey, p_name FROM part WHERE p_name = 'part 7' OR regexp_matches(p_name, '(?i)PART 19[0-4]$')")
+@Q("SELECT p_partkey, p_name FROM part WHERE p_name = 'red plate' OR regexp_matches(p_name, '(?i)^HOT RI[MN]G$')")
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where((F.col("p_name") == "part 7") | F.col("p_name").rlike("(?i)PART 19[0-4]$")).select("p_partkey", "p_name")
+    return read(spark, d, "part").where((F.col("p_name") == "red plate") | F.col("p_name").rlike(safe_pattern("(?i)^HOT RI[MN]G$"))).select("p_partkey", "p_name")
 
 
 @Q("""WITH h AS (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5), x AS (SELECT l_partkey AS hit, l_suppkey AS related, count(*) AS weight FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM h) GROUP BY 1, 2)
@@ -75,11 +76,11 @@ def graph_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return top_per_group(near.groupBy("hit", "related").agg(F.count("*").alias("weight")), ["hit"], [F.desc("weight"), F.col("related")], 10)
 
 
-@Q("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS score FROM embeddings, q) SELECT vec_id, score FROM s ORDER BY 2 DESC, 1 LIMIT 20""")
+@Q("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0)
+SELECT query, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 20""")
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings")
-    query = v.where("vec_id = 0").first()["embedding"]
-    return search.nearest(v, [float(x) for x in query], 20)
+    return search.nearest(v, v.where("vec_id % 20 = 0"), 20)
 
 
 @Q("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), b AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS bucket, count(*) AS n FROM w GROUP BY 1, 2)
@@ -88,9 +89,9 @@ def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
     return search.hashed_vector(read(spark, d, "documents"), "doc_id", "text")
 
 
-@Q("SELECT p_partkey FROM part WHERE levenshtein(p_name, 'Part_12') <= 2 OR levenshtein(lower(translate(p_name, '_- #', '')), 'part12') <= 2")
+@Q("SELECT p_partkey FROM part WHERE levenshtein(p_name, 'Red_Plate') <= 2 OR levenshtein(lower(translate(p_name, '_- #', '')), 'redplate') <= 2")
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    return search.fuzzy_names(read(spark, d, "part"), "p_name", "Part_12", 2).select("p_partkey")
+    return search.fuzzy_names(read(spark, d, "part"), "p_name", "Red_Plate", 2).select("p_partkey")
 
 
 @Q("SELECT doc_id FROM documents WHERE contains(lower(text), 'copyright') OR contains(lower(source), '19')")
@@ -111,11 +112,19 @@ def task_rerank(spark: SparkSession, d: str) -> DataFrame:
     return search.task_overlap(read(spark, d, "documents"), "text", "that with license this").select("doc_id", "overlap")
 
 
-@Q("""WITH x AS (SELECT doc_id AS id, contains(lower(text), 'the that') AS p, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'that') THEN 1 ELSE 0 END AS n, n_chars FROM documents),
-y AS (SELECT id, round(0.30 * least(n_chars / 10000.0, 1) + 0.10 * greatest(0, 1 - (id % 400) / 365.0) + 0.15 * CASE WHEN p THEN 1.0 WHEN n = 2 THEN 0.8 WHEN n > 0 THEN 0.3 + 0.4 * n / 2 ELSE 0 END, 6) AS score FROM x) SELECT id, score FROM y WHERE score >= 0.05 ORDER BY 2 DESC, 1 LIMIT 50""")
+@Q("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 4)) AS w FROM documents),
+x AS (SELECT doc_id AS id, contains(lower(text), 'the that') AS p, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'that') THEN 1 ELSE 0 END AS n, n_chars,
+round(len(list_intersect(w, ['that', 'with', 'this'])) / greatest(len(w), 3), 6) AS semantic, least(coalesce(c.n, 0) / 8.0, 1) AS graph FROM documents JOIN w USING (doc_id) LEFT JOIN c ON conv_id = doc_id),
+y AS (SELECT id, round(0.30 * least(n_chars / 10000.0, 1) + 0.25 * semantic + 0.20 * graph + 0.10 * greatest(0, 1 - (id % 400) / 365.0) + 0.15 * CASE WHEN p THEN 1.0 WHEN n = 2 THEN 0.8 WHEN n > 0 THEN 0.3 + 0.4 * n / 2 ELSE 0 END, 6) AS score FROM x)
+SELECT id, score FROM y WHERE score >= 0.05 ORDER BY 2 DESC, 1 LIMIT 50""")
 def composite_rank(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    signals = docs.select(F.col("doc_id").alias("id"), F.least(F.col("n_chars") / 10000.0, F.lit(1.0)).alias("fts"), F.lit(None).cast("double").alias("semantic"), F.lit(None).cast("double").alias("graph"), F.greatest(F.lit(0.0), 1 - (F.col("doc_id") % 400) / 365.0).alias("freshness"), search.precision(F.col("text"), "the that").alias("precision"))
+    """Length, word overlap with the task, links from conversations, age and phrase as the five signals."""
+    links = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("links"))
+    docs = search.task_overlap(read(spark, d, "documents"), "text", "that with this").join(links, "doc_id", "left")
+    signals = docs.select(
+        F.col("doc_id").alias("id"), F.least(F.col("n_chars") / 10000.0, F.lit(1.0)).alias("fts"), F.col("overlap").alias("semantic"), F.least(F.coalesce("links", F.lit(0)) / 8.0, F.lit(1.0)).alias("graph"),
+        F.greatest(F.lit(0.0), 1 - (F.col("doc_id") % 400) / 365.0).alias("freshness"), search.precision(F.col("text"), "the that").alias("precision"),
+    )
     return search.composite(signals).select("id", "score")
 
 
@@ -155,14 +164,21 @@ def content_replace(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _intent_sql() -> str:
-    parts = ", ".join(f"{{'s': least(1.0::DOUBLE, 2.0 * length(regexp_extract(lower(q), '{p}', 1)) / greatest(length(q), 1)), 'name': '{n}'}}" for n, p in search.INTENTS.items())
-    return f"WITH q AS (SELECT doc_id, left(text, 40) AS q FROM documents), b AS (SELECT doc_id, list_max([{parts}]) AS b FROM q) SELECT doc_id, CASE WHEN b.s >= 0.15 THEN b.name ELSE 'general' END AS intent, round(b.s, 6) AS confidence FROM b"
+    q = "trim(text, E' \\t\\n\\r\\x0b\\x0c')"
+    score = lambda triggers: "greatest(" + ", ".join(f"least(1.0::DOUBLE, 2.0 * length(regexp_extract(q, '(?i){t}')) / greatest(length(q), 1))" for t in triggers) + ")"
+    scores = ", ".join(f"{score(t)} AS s{k}" for k, t in enumerate(search.INTENTS.values()))
+    best = "greatest(" + ", ".join(f"s{k}" for k in range(len(search.INTENTS))) + ")"
+    names = " ".join(f"WHEN s{k} = best THEN '{name}'" for k, name in enumerate(search.INTENTS))
+    other = f"regexp_matches(q, '(?i){'|'.join(search.NON_CODE)}')"
+    return f"""WITH t AS (SELECT conv_id, turn, {q} AS q FROM conversations), s AS (SELECT *, {scores} FROM t), b AS (SELECT *, {best} AS best FROM s)
+SELECT conv_id, turn, CASE WHEN q = '' THEN 'find_code' WHEN {other} THEN 'non_code' WHEN best < 0.15 THEN 'find_code' {names} END AS intent,
+round(CASE WHEN q = '' THEN 0 WHEN {other} THEN 0.9 WHEN best < 0.15 THEN 0.3 ELSE best END, 6) AS confidence FROM b"""
 
 
 @Q(_intent_sql())
 def intent_classification(spark: SparkSession, d: str) -> DataFrame:
-    """Queries are the documents' openings: a query is a short text by definition."""
-    return search.intent(read(spark, d, "documents").select("doc_id", F.left("text", F.lit(40)).alias("q")), "q").select("doc_id", "intent", "confidence")
+    """Whole turns of conversations are the queries."""
+    return search.intent(read(spark, d, "conversations"), "text").select("conv_id", "turn", "intent", "confidence")
 
 
 @Q("SELECT conv_id, sum((length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4)::BIGINT AS score FROM conversations GROUP BY 1 HAVING score > 0 ORDER BY 2 DESC, 1 LIMIT 25")

@@ -54,11 +54,11 @@ def query_near_loop(spark: SparkSession, d: str) -> DataFrame:
     return got.where(F.col("line").startswith("The")).drop("line")
 
 
-@Q(f"WITH {LINES} SELECT doc_id, n, last_value(CASE WHEN length(line) < 20 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM lines WHERE doc_id < 200")
+@Q(f"WITH {LINES} SELECT doc_id, n, last_value(CASE WHEN length(line) < 20 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM lines")
 def running_section(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with the last short line before them as heading; the 200 documents are a demonstration's own filter."""
+    """Lines with the last short line before them as heading."""
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return windows.lines(read(spark, d, "documents").where("doc_id < 200")).select("doc_id", "n", F.last(F.when(F.length("line") < 20, F.col("line")), ignorenulls=True).over(w).alias("heading"))
+    return windows.lines(read(spark, d, "documents")).select("doc_id", "n", F.last(F.when(F.length("line") < 20, F.col("line")), ignorenulls=True).over(w).alias("heading"))
 
 
 @Q(f"""WITH {LINES}, b AS (SELECT doc_id, n, line, sum(CASE WHEN regexp_matches(line, '^[A-Z].*[.]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM lines)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltiq.operators import incremental
+from basaltiq.operators.graph import shared_folder
 from basaltiq.registry import CORE
 from basaltiq.sources import readers
 from basaltiq.sources.tables import read
@@ -18,9 +18,15 @@ from basaltiq.streaming import streams
 Q = CORE.query
 
 
-@Q("SELECT 'number' AS kind, count(*) AS n FROM events")
+JSON_TEXT = """CASE doc_id % 4 WHEN 0 THEN concat('{"a": ', n_chars, ', "b": [1, {"c": "]"}]}') WHEN 1 THEN concat('{"a": "', source, '", "b": null}')
+WHEN 2 THEN '{"a": true, "b": {"x": {"y": [0]}}}' ELSE '{"a": -1.5, "b": "}{[["}' END"""
+
+
+@Q(f"""WITH j AS (SELECT ({JSON_TEXT})::JSON AS j FROM documents), v AS (SELECT unnest([j->'a', j->'b']) AS v FROM j), t AS (SELECT json_type(v) AS t, regexp_replace(v::VARCHAR, '"[^"]*"', '', 'g') AS s FROM v)
+SELECT CASE WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN t = 'VARCHAR' THEN 'string' WHEN t IS NULL OR t = 'NULL' THEN 'null' ELSE lower(t) END AS kind, count(*) AS n,
+max(CASE WHEN t IN ('ARRAY', 'OBJECT') THEN list_max(list_transform(range(1, length(s) + 1), lambda i: length(regexp_replace(left(s, i), '[^\\[{{]', '', 'g')) - length(regexp_replace(left(s, i), '[^\\]}}]', '', 'g')))) ELSE 0 END) AS max_depth FROM t GROUP BY 1""")
 def json_profile(spark: SparkSession, d: str) -> DataFrame:
-    return readers.json_profile(read(spark, d, "events"), "props")
+    return readers.json_profile(read(spark, d, "documents").select(F.expr(JSON_TEXT).alias("props")), "props")
 
 
 @Q("SELECT page_id, CASE WHEN regexp_matches(url, '[.](html|md)$') THEN 'document' ELSE 'other' END AS kind FROM pages")
@@ -50,8 +56,7 @@ def manifest_delta(spark: SparkSession, d: str) -> DataFrame:
 def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over the events table to its end and give the sink's last result."""
     schema = read(spark, d, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="basaltiq-")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # The table is one file or a folder of parts; a file stream reads folders.
     found = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").load(d)
     results: list[str] = []

@@ -84,10 +84,15 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_profile(docs: DataFrame, column: str) -> DataFrame:
-    """``kind, n``: JSON types of the top-level values."""
+    """``kind, n, max_depth``: JSON types of the top-level values, and how deep the deepest of each nests; a scalar has depth 0."""
     pairs = docs.select(F.explode(F.from_json(F.col(column), "map<string,string>")).alias("key", "v"))
     kind = F.when(F.col("v").isNull(), "null").when(F.col("v").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), "number").when(F.col("v").isin("true", "false"), "boolean").when(F.col("v").startswith("{"), "object").when(F.col("v").startswith("["), "array").otherwise("string")
-    return pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    bare = F.regexp_replace(F.regexp_replace("v", r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    signs = F.filter(F.split(bare, ""), lambda c: c != "")
+    deep = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+    own = pairs.select(kind.alias("kind"), F.when(kind.isin("object", "array"), deep).otherwise(0).alias("depth"))
+    return own.groupBy("kind").agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"))
 
 
 def export(df: DataFrame, path: str, fmt: str) -> None:
@@ -98,9 +103,15 @@ def export(df: DataFrame, path: str, fmt: str) -> None:
     writer.format(fmt).save(path)
 
 
-def markdown(df: DataFrame, order: list[str], limit: int = 1000) -> DataFrame:
-    """One row ``markdown``: a table of at most ``limit`` rows, in an order."""
-    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
-    rows = df.orderBy(*order).limit(limit).select(F.struct(*order).alias("k"), cells.alias("line"))
+def markdown(df: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """One row ``markdown``: a table of all rows, or of the first ``limit``, in an order. The row grows with the table;
+    ``markdown_lines`` gives a row a line instead."""
+    rows = df.orderBy(*order).limit(limit) if limit else df
     head = f"| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}\n"
-    return rows.agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")).alias("markdown"))
+    return markdown_lines(rows, order).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")).alias("markdown"))
+
+
+def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """``k, line``: a line of a markdown table for each row, with its order."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+    return df.select(F.struct(*order).alias("k"), cells.alias("line"))

@@ -38,7 +38,9 @@ def whole(x: list[tuple]) -> list[tuple]:
     return sorted(tuple(f"{float(v):.5f}" if v.replace(".", "", 1).replace("-", "", 1).isdigit() and len(v) < 16 else v for v in r) for r in x)
 
 
-def same(spark_df, sql: str, sf_dir: str) -> None:
+def same(spark_df, sql: str, sf_dir: str) -> int:
+    """The number of rows, which are equal."""
     got, want = spark_df.toPandas(), sql_rows(sql, sf_dir)
     assert sorted(got.columns) == sorted(want.columns)
     assert whole(rows(got)) == whole(rows(want))
+    return len(got)

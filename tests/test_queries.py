@@ -11,12 +11,12 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.mark.parametrize("name", sorted(CORE.sql))
 def test_agrees_with_sql(spark, name):
-    same(CORE.builders[name](spark, SF), CORE.sql[name], SF)
+    assert same(CORE.builders[name](spark, SF), CORE.sql[name], SF) > 0
 
 
 @pytest.mark.parametrize("name", sorted(set(CORE.builders) - set(CORE.sql)))
 def test_runs(spark, name):
-    assert CORE.builders[name](spark, SF).count() >= 0
+    assert CORE.builders[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
