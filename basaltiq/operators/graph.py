@@ -51,6 +51,16 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "dst_", "dst": "src"}).withColumnRenamed("dst_", "dst")
 
 
+def explore(edges: DataFrame, seeds: DataFrame, *, direction: str = "both", depth: int = 1) -> DataFrame:
+    """``id, depth, fan_in, fan_out``: what lies within ``depth`` edges of the seeds, along them (out), against them (in) or both
+    ways; the caller has filtered the relations, and degrees count those that are left."""
+    own = cut(edges.select("src", "dst"))
+    ways = {"out": own, "in": reverse(own).select("src", "dst"), "both": own.unionByName(reverse(own).select("src", "dst"))}
+    found = reach(ways[direction], seeds, depth=depth)
+    fan_in, fan_out = own.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fan_in")), own.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan_out"))
+    return found.join(fan_in, "id", "left").join(fan_out, "id", "left").na.fill(0, ["fan_in", "fan_out"])
+
+
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``path array<long>, len``: simple paths of 1 to ``depth`` edges from ``seeds (id)``."""
     links = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
