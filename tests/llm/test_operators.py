@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -77,15 +78,37 @@ def test_line_dedup(spark, corpus):
 
 
 def test_line_runs_by_any_batches(spark):
+    """Any batches give one table; each key enters the runs once, by the anti-join, and only updates come after."""
     rows = [(d, k % 7, k) for d in range(40) for k in range(d % 5)]
     df = spark.createDataFrame(rows, "doc_id long, h1 long, h2 long")
     want = {tuple(r) for r in df.groupBy("h1", "h2").agg(F.count("*"), F.max("doc_id")).collect()}
-    for n in (1, 3, 8):
+    for n, levels in ((1, [1]), (3, [1, 1]), (8, [0, 0, 0, 1])):
         runs = line_dedup.LineRuns(spark, fan_in=2)
         for k in range(n):
-            runs.add(df.where(F.col("doc_id") % n == k), count_new=True)
-        assert {tuple(r) for r in runs.table().collect()} == want
-        assert len(runs.levels) == {1: 1, 3: 2, 8: 4}[n]
+            runs.add(df.where(F.col("doc_id") % n == k))
+        held = [r for name in runs.runs() for r in spark.table(name).where("fresh").collect()]
+        assert len(held) == len({(r.h1, r.h2) for r in held}) == len(want)
+        assert [len(level) for level in runs.levels] == levels
+        if n == 3:  # the last batch's keys are all known
+            assert spark.table(runs.levels[0][0]).where("fresh").count() == 0 < spark.table(runs.levels[0][0]).count()
+        assert {tuple(r) for r in runs.table().collect()} == want and not runs.runs()
+
+
+def test_line_runs_are_met_without_a_shuffle_of_them(spark):
+    df = spark.createDataFrame([(d, d % 7, d) for d in range(40)], "doc_id long, h1 long, h2 long")
+    runs = line_dedup.LineRuns(spark)
+    runs.add(df)
+    scan = spark.table(runs.runs()[0]).where("fresh").select("h1", "h2").hint("merge")
+    plan = df.groupBy("h1", "h2").count().join(scan, ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    runs.table()
+
+
+def test_line_dedup_in_many_batches(spark, corpus):
+    texts, _ = corpus
+    docs = table(spark, texts)
+    want = {tuple(r) for r in line_dedup.dedup_lines(docs).drop("kept").collect()}
+    assert {tuple(r) for r in line_dedup.dedup_lines(docs, batch_rows=2, fan_in=2).drop("kept").collect()} == want
 
 
 def test_quality_rules(spark, corpus):
@@ -109,6 +132,27 @@ def test_quality_rules(spark, corpus):
     assert {r.kept for r in quality_rules.judge(docs.where("doc_id in (8, 9)"), labels.limit(0)).collect()} == {True}
 
 
+def test_quality_rules_scores_by_brute_force(spark, corpus):
+    texts, _ = corpus
+    docs, labels = table(spark, texts), spark.createDataFrame([(k, 1, 0) for k in range(8, 16)], "doc_id long, quality int, toxic int")
+    words = [re.findall(WS, t or "") for t in texts]
+    one = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {w for ws in words for w in ws}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = {(one[a], one[b]) for ws in words for a, b in zip(ws, ws[1:])}
+    two = {(r.a, r.b): r.h for r in spark.createDataFrame(list(pairs), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    grams = [[one[w] % 512 for w in ws] + [two[one[a], one[b]] % 512 for a, b in zip(ws, ws[1:])] for ws in words]
+    raw, target = collections.Counter(), collections.Counter()
+    for k, own in enumerate(grams):
+        raw.update(own)
+        target.update(own if 8 <= k < 16 else [])
+    p = lambda c, b: 0.9 * c[b] / sum(c.values()) + 0.1 / 512
+    for x in quality_rules.judge(docs, labels, n_buckets=512).collect():
+        if x.base_failed:
+            assert x.score is None and not x.kept
+        else:
+            want = np.mean([np.log(p(target, b)) - np.log(p(raw, b)) for b in grams[x.doc_id]])
+            assert abs(x.score - want) < 2e-6 and x.kept == (x.score >= -0.1)
+
+
 def test_quality_rules_reject_marked_words(spark):
     r = random.Random(1)
     clean = [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(60)) for _ in range(60)]
@@ -160,7 +204,13 @@ def test_decontamination(spark, corpus):
     clean = decontaminate.remove_contaminated(table(spark, texts), bench)
     assert {r.doc_id for r in clean.collect()} == {d for d, w in want.items() if not w[4]}
     assert decontaminate.find_contamination(table(spark, texts[:2]), bench.limit(0)).where("contaminated").count() == 0
-    assert decontaminate.find_contamination(table(spark, []), bench).count() == 0
+    assert decontaminate.find_contamination(table(spark, []), bench).count() == 0 == decontaminate.remove_contaminated(table(spark, []), bench).count()
+    # Repeated rows and null ids are judged like any other.
+    null_id = table(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+    more = table(spark, texts).unionByName(table(spark, texts)).unionByName(null_id).unionByName(null_id)
+    rows = collections.Counter(tuple(r)[1:] for r in decontaminate.find_contamination(more, bench).collect())
+    assert rows == collections.Counter({w: 4 * n for w, n in collections.Counter(want.values()).items()})
+    assert decontaminate.remove_contaminated(more, bench).count() == 4 * sum(not w[4] for w in want.values())
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -195,11 +245,68 @@ def test_pii(spark):
     assert pii.find(table(spark, [])).count() == 0
 
 
+def test_pii_survives_long_numbers_and_any_case():
+    assert pii.base_spans("0" * 5000 + ".0.0.0") == [(0, 1, 5006)] and pii.base_spans("9" * 5000 + ".0.0.0") == []
+    for form in ("bob at mail dot com", "Bob AT mail DOT com", "bob (At) mail (Dot) com"):
+        assert [c[2] for c in pii.candidates(f"write to {form} now", [])] == ["email"]
+
+
+#: Planted forms of each added kind, and look-alikes.
+PLANTED = {
+    "email": (["{w}.{n} [at] mail [dot] com", "{w}{n} (at) site (dot) org"], ["look at page {n} dot it"]),
+    "phone": (["call ({a}) 555-{n4}", "phone: {a}-555-{n4}"], ["version {a}.000.0000"]),
+    "ssn": (["ssn {s}-4{m}-{n4}"], ["order 000-00-{n4}"]),
+    "name": (["signed Dr. Maria Garcia", "dear Mr. John Miller"], []),
+    "secret": (["key AKIA{k16}", "password={h18}", 'token = "{h18}{h18}"', "auth ghp_{k16}{k16}"], ["password=changeme", "token=your_token_here", "secret: xxxxxxxxxxxx"]),
+    "iban": (["iban DE89370400440532013000", "account GB82WEST12345698765432"], ["serial DE00370400440532013000"]),
+}
+
+
+def test_pii_finds_planted_spans_of_every_kind(spark):
+    r = random.Random(21)
+
+    def fill(form):
+        some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+        own = {"w": some("abcdefgh", 5), "n": r.randint(10, 99), "a": r.randint(210, 989), "n4": r.randint(1234, 9876), "s": r.randint(101, 665), "m": r.randint(1, 9), "k16": some("ABCDEFGHJKLMNPQR23456789", 16), "h18": some("0123456789abcdef", 18)}
+        return form.format(**own)
+
+    rows = [(kind, good, fill(form)) for kind, forms in PLANTED.items() for good, own in zip((True, False), forms, strict=True) for form in own for _ in range(25)]
+    text = lambda: " ".join(r.choice("the and tion with ing that or".split()) for _ in range(30))
+    texts = [f"{text()} {x} {text()}" for *_, x in rows] + [text() for _ in range(100)]
+    got = {x.doc_id: x for x in pii.find(table(spark, texts).unionByName(table(spark, texts[:5]))).collect()}
+    for kind in PLANTED:
+        own = [f"{kind}:" in got[k].spans for k, (c, good, _) in enumerate(rows) if c == kind and good]
+        assert np.mean(own) >= 0.9, kind
+    wrong = [got[k].has_personal_data for k, (_, good, _) in enumerate(rows) if not good]
+    assert np.mean(wrong) < 0.2 and not any(got[k].n_spans for k in range(len(rows), len(texts)))
+
+
 def test_label_model_prefers_agreement():
     p = pii.train({"secret|+++0+|101": 50, "secret|--0--|101": 50, "phone|++0-+|121": 3})
     assert p["secret|+++0+|101"] > 0.9 and p["secret|--0--|101"] < 0.1 and pii.train({}) == {}
 
 
+def test_label_model_by_enumeration():
+    """Simulated labelers: EM finds their reliabilities, and its posterior is that of enumerating both labels."""
+    r = random.Random(22)
+    true, share = [0.95, 0.9, 0.8, 0.75, 0.7], 0.4
+    patterns = collections.Counter()
+    for _ in range(20000):
+        z = r.random() < share
+        votes = "".join("0" if r.random() < 0.2 else "+" if (r.random() < q) == z else "-" for q in true)
+        patterns[f"ssn|{votes}|000"] += 1
+    prior, right = pii.estimate(dict(patterns), rounds=200)
+    assert abs(prior["ssn"] - share) < 0.05 and np.abs(right - true).max() < 0.05
+    names = sorted(patterns)
+    for name, p in zip(names, pii.posterior(names, prior, right), strict=True):
+        like = {}
+        for z in (1, 0):
+            like[z] = prior["ssn"] if z else 1 - prior["ssn"]
+            for v, q in zip(name.split("|")[1], right, strict=True):
+                like[z] *= 1 if v == "0" else q if (v == "+") == bool(z) else 1 - q
+        assert abs(p - like[1] / (like[0] + like[1])) < 1e-9
+
+
 def test_warc(spark):
     rows = [(k, f"http://x/{k}\r\n", "same" if k % 3 == 0 else f"<p>{k}</p>" * (k % 9)) for k in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "é" * 70000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "refers_to": F.lit(2)})
@@ -289,16 +396,58 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == brute_components(texts)
 
 
+def _edited(r, words, n):
+    out = words[:]
+    for _ in range(n):
+        out[r.randrange(len(out))] = f"e{r.randrange(10**9)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize(("chunk", "low"), [(1024, 8), (7, 1)])
+def test_large_groups_of_near_copies(spark, monkeypatch, chunk, low):
+    """Groups in which many are far from the original and near to each other; also with small chunks and lists."""
+    monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
+    monkeypatch.setattr(near_duplicates, "LOW", low)
+    r = random.Random(12)
+    texts = []
+    for g, n in ((0, 70), (1, 150), (2, 20)):
+        words = [f"g{g}w{j}" for j in range(n)]
+        for _ in range(60):
+            step = _edited(r, words, r.randint(0, max(1, n // 30)))
+            texts += [step, _edited(r, step.split(" "), r.randint(0, max(1, n // 25)))]
+    texts += [texts[0]] * 30
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates.near_duplicates(table(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 300
+
+
+def test_many_null_ids(spark):
+    r = random.Random(13)
+    words = [f"w{j}" for j in range(60)]
+    texts = [_edited(r, words, 1) for _ in range(40)] + [" ".join(f"{k}x{j}" for j in range(20)) for k in range(40)] + [" ".join(words)] * 20
+    docs = table(spark, texts)
+    half = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    got = near_duplicates.near_duplicates(half).collect()
+    want = brute_components(texts)
+    assert len(got) == 100
+    for x in got:
+        if x.doc_id is not None:
+            same_group = [d for d in want if want[d][1] == want[x.doc_id][1] and d % 2 == 0]
+            assert (x.n_shingles, x.component_id) == (want[x.doc_id][0], min(same_group))
+    assert near_duplicates.deduplicate(docs.limit(0)).count() == 0
+
+
 def test_trees_lose_no_pair():
     r = random.Random(2)
-    counts = np.zeros(near_duplicates.SKETCH, np.int64)
+    counts = np.zeros(1 << 16, np.int64)
     sets = []
     for _ in range(40):
         base = {r.getrandbits(64) for _ in range(r.randint(1, 60))}
         for _ in range(4):
             own = {x for x in base if r.random() > 0.05} | {r.getrandbits(64) for _ in range(r.randint(0, 4))}
             sets.append(np.unique(np.array(sorted(own or base), np.uint64)))
-    leaves = [near_duplicates.leaf(k, len(s), k, near_duplicates.bitmap(near_duplicates.prefix(s, counts, 80)), 80) for k, s in enumerate(sets)]
+    prefixes = [near_duplicates.prefix(s, counts, 80) for s in sets]
+    leaves = [near_duplicates.leaf(k, len(s), k, near_duplicates.bitmap(p), len(p)) for k, (s, p) in enumerate(zip(sets, prefixes, strict=True))]
     tree = near_duplicates.build(leaves)
     found = {(x.sid, y.sid) for x, y in near_duplicates.traverse(tree, tree, 80)}
     for a in range(len(sets)):
@@ -456,17 +605,74 @@ def test_quality_model(spark):
     assert np.mean([got[k].predicted == k % 2 for k in held]) > 0.95
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in got.values())
     assert {x.score for x in quality_model.classify(table(spark, texts[:3]), labels.limit(0)).collect()} == {0.5}
+    assert quality_model.classify(table(spark, []), labels).count() == 0
+    again = quality_model.classify(table(spark, texts[:50]).unionByName(table(spark, texts[:50])), labels).collect()
+    assert len(again) == 100 and len({(x.doc_id, x.score) for x in again}) == 50
+
+
+def test_training_rows_are_those_with_the_smallest_hashes(spark):
+    features = spark.createDataFrame([(k, [float(k)]) for k in range(3000)], "doc_id long, x array<float>")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3000)], "doc_id long, quality int")
+    learn = labels.where("crc32(cast(string(doc_id) as binary)) % 5 <> 0")
+    want = [r.doc_id for r in learn.orderBy(F.xxhash64("doc_id")).limit(400).collect()]
+    for most, n in ((400, 400), (5000, learn.count())):
+        x, y = quality_model.training_rows(features, labels, most)
+        assert len(x) == n and (x[:400, 0] == want).all() and (y == x[:, 0] % 2).all()
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "What is it?"), (1, 1, "assistant", "It is a thing.\nOf two lines."), (1, 2, "user", "Is it?"), (1, 3, "assistant", "Yes."), (2, 0, None, None), (None, None, "odd", "x"), (3, 400, "user", "late turn")] * 2
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit(1), "segment": F.lit(2), "before": F.lit(3)})
+    rows = [(1, 0, "user", "What is it?"), (1, 1, "assistant", "It is a thing.\nOf two lines."), (1, 2, "user", "Is it?"), (1, 3, "assistant", "Yes."), (2, 0, None, None), (None, None, "odd", "x"), (3, 400, "user", "late turn"), (4, 0, "user", "long " * 50000)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit(1), "segment": F.lit(2), "before": F.lit(3), "entry": F.lit(4), "last": F.lit(5)})
     got = {(r.conv_id, r.segment): r for r in chat.format_chats(df).collect()}
-    assert set(got) == {(1, 0), (2, 0), (None, 0), (3, 1)}
-    assert got[1, 0].rendered.startswith("<|user|>\n") and got[1, 0].n_lines == 10
+    assert set(got) == {(1, 0), (2, 0), (None, None), (3, 1), (4, 0)}
+    assert got[1, 0].rendered.startswith("<|user|>\n") and got[1, 0].n_lines == 10 and got[1, 0].rendered.endswith("\n<|end|>\n")
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def _model(r):
+    keys = [f"{a}{b}" for a in chat.ROLES for b in "+-"]
+    counts = {f"start|{k}": r.randint(0, 9) for k in keys} | {f"move|{a}|{b}": r.randint(0, 30) for a in keys for b in keys if b[-1] == "+" or a[:-1] == b[:-1]}
+    return chat.Hmm(counts | {f"emit|{k}|{f}|{v}": r.randint(0, 20) for k in keys for f, vs in zip(chat.FEATURES, chat.VALUES, strict=True) for v in vs})
+
+
+def test_viterbi_by_enumeration():
+    r = random.Random(31)
+    for _ in range(12):
+        hmm = _model(r)
+        seen = [tuple(r.choice(vs) for vs in chat.VALUES) for _ in range(5)]
+        scores = hmm._scores(seen)
+        cost = lambda p: hmm.start[p[0]] + sum(hmm.move[a, b] for a, b in zip(p, p[1:])) + sum(scores[k, x] for k, x in enumerate(p))  # noqa: B023, E731
+        best = max(itertools.product(range(6), repeat=5), key=cost)
+        assert hmm.decode(seen) == [chat.STATES[k] for k in best]
+        assert np.allclose(hmm.transfer(seen, hmm.start[None])[0].max(), cost(best))
+
+
+def test_long_conversations_keep_the_path_of_the_whole(spark, monkeypatch):
+    r = random.Random(32)
+    lines = ["User: what is it?", "Assistant: it is this.", "and more", "", "why?", "A: because.", "Q: so?", "    code", "fine"]
+    rows = [(c, t, r.choice(chat.ROLES), "\n".join(r.choice(lines) for _ in range(r.randint(1, 3)))) for c in range(12) for t in range(r.randint(1, 23))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def result(turns):
+        monkeypatch.setattr(chat, "SEGMENT_TURNS", turns)
+        out = collections.defaultdict(list)
+        for x in chat.format_chats(df).orderBy("conv_id", "segment").collect():
+            out[x.conv_id].append(x)
+        return {c: (sum(x.n_lines for x in xs), ",".join(x.roles for x in xs if x.roles), re.sub(r"\n+", "\n", "".join(x.rendered for x in xs)), len(xs)) for c, xs in out.items()}
+
+    monkeypatch.setattr(chat, "known_counts", lambda turns, real=chat.known_counts: _counts)
+    hmm_counts = {"move|user+|assistant+": 20, "move|assistant+|user+": 20, "move|assistant-|user+": 12, "move|user+|user-": 9, "move|assistant+|assistant-": 14, "move|assistant-|assistant-": 9, "start|user+": 9}
+    _counts = hmm_counts | {"emit|user+|marker|user": 30, "emit|assistant+|marker|assistant": 30, "emit|user+|marker|none": 9, "emit|assistant+|marker|none": 7, "emit|user+|ending|?": 25, "emit|assistant-|gap|near": 20, "emit|user-|gap|far": 7}
+    whole, cut = result(1000), result(3)
+    assert {c: x[:3] for c, x in cut.items()} == {c: x[:3] for c, x in whole.items()}
+    assert max(x[3] for x in cut.values()) > 4
+
+
+def test_chat_finds_roles_of_held_out_conversations(spark):
+    got = chat.format_chats(spark.read.parquet(f"{SF}/conversations.parquet")).where("held_out").agg(F.sum("n_lines").alias("n"), F.sum("n_role_errors").alias("wrong")).first()
+    assert got.n > 20 and got.wrong / got.n < 0.2
+
+
 def test_markers_and_forged_turns():
     assert chat.marker_of("### Human: hi") == ("user", "hi") and chat.marker_of("A: yes") == ("assistant", "yes")
     assert chat.marker_of("note: this") == ("none", "note: this")
@@ -488,3 +694,28 @@ def test_pipeline(spark):
         docs_out.write.mode("overwrite").parquet(folder)
         docs = spark.read.parquet(folder)
         assert 0 < docs.count() <= before
+
+
+def test_pipeline_stages_by_brute_force(spark, corpus):
+    """Each stage on its own input: nulls, repeated rows, near copies, common lines and passages."""
+    import corpus_pipeline
+
+    texts, _ = corpus
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()["text"]
+    texts = [*texts, f"{passage} and some more", passage]
+    docs = spark.createDataFrame([(k, t, "en", "src0", len(t or "")) for k, t in enumerate(texts)] + [(8, texts[8], "en", "src0", 1)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash"))
+    by_name = dict(corpus_pipeline.STAGES)
+    ids = lambda name, df: sorted(r.doc_id for r in by_name[name](spark, df, SF).collect())
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert ids("quality_rules", docs) == sorted(r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect())
+    got = {r.doc_id: (r.text, r.n_chars, r.kept) for r in by_name["line_dedup"](spark, docs, SF).collect()}
+    for r in line_dedup.dedup_lines(docs).collect():
+        assert got[r.doc_id] == (r.kept, len(r.kept), "clash")
+    groups = brute_components(texts)
+    blank = [d for d, (n, _) in groups.items() if not n]
+    assert ids("near_duplicates", docs) == sorted(d for d, (n, c) in groups.items() if c == d) and set(blank) <= set(ids("near_duplicates", docs))
+    bad = {r.doc_id for r in decontaminate.find_contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
+    assert {len(texts) - 2, len(texts) - 1} <= bad and ids("decontamination", docs) == sorted([d for d in range(len(texts)) if d not in bad] + ([8] if 8 not in bad else []))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
