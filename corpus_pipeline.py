@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage is one operator over all that the stage before it kept, written as Parquet between."""
+"""The corpus pipeline: each stage is one operator over all that the stage before it kept, written as Parquet between.
+
+Defined results, by stage. Quality rules: null and empty texts go, repeated rows share a verdict, null ids are judged like
+any. Line dedup: null and empty texts become empty ones; repeated rows lose the same lines; rows with a null id lose none.
+Near copies: texts without words all stay; of equal rows one stays; among ties the smallest id, a null id last.
+Decontamination: texts without words stay; repeated rows share a verdict. Packing: a null or empty text is its end id. An
+empty table gives an empty one in every stage, and extra columns pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
