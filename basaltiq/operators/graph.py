@@ -113,6 +113,22 @@ def label_propagation(edges: DataFrame, *, rounds: int = 3) -> DataFrame:
     return labels
 
 
+def communities(edges: DataFrame, *, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``label, size, internal, cohesion`` of communities by label propagation; and one row ``communities,
+    modularity``. ``cohesion`` is the share of possible links that exist inside; weights count once for each direction."""
+    labels = cut(label_propagation(edges, rounds=rounds))
+    both = cut(edges.select("src", "dst", "weight").unionByName(reverse(edges).select("src", "dst", "weight")).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    ends = both.join(labels.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+    same = F.col("a") == F.col("b")
+    of = cut(ends.groupBy(F.col("a").alias("label")).agg(F.sum("weight").alias("total"), F.sum(F.when(same, F.col("weight")).otherwise(0)).alias("inside"), F.count_if(same & (F.col("src") < F.col("dst"))).alias("internal")))
+    size = labels.groupBy("label").agg(F.count("*").alias("size"))
+    possible = F.col("size") * (F.col("size") - 1) / 2
+    rows = size.join(of, "label").select("label", "size", "internal", F.round(F.when(F.col("size") > 1, F.col("internal") / possible).otherwise(0.0), 6).alias("cohesion"))
+    m = of.agg(F.sum("total").alias("m"))
+    part = F.col("inside") / F.col("m") - (F.col("total") / F.col("m")) * (F.col("total") / F.col("m"))
+    return rows, of.crossJoin(F.broadcast(m)).agg(F.count("*").alias("communities"), F.round(F.sum(part), 6).alias("modularity"))
+
+
 def _mark(links: DataFrame) -> tuple:
     """Number and hash of the rows, which no sum of large ids can overflow."""
     return tuple(links.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())

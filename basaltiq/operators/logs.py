@@ -13,13 +13,16 @@ def parse_level(line: Column) -> Column:
     return F.when(found == "WARNING", "WARN").when(found == "FATAL", "CRITICAL").when(found == "", "INFO").otherwise(found)
 
 
-def parse_timestamp(line: Column) -> Column:
-    """The first timestamp in the line, in one of the known forms; null without one."""
+def parse_timestamp(line: Column, year: int = 2000) -> Column:
+    """The first timestamp in the line, in one of the known forms, with fractions and zone offsets; null without one. ``year`` is
+    that of the form ``Jan 5 10:00:00``, which has none."""
     date, clock = r"(\d{4}[-/]\d{2}[-/]\d{2})", r"(\d{2}:\d{2}:\d{2})"
-    found = F.regexp_extract(line, rf"{date}[T ]{clock}", 0)
-    plain = F.replace(F.replace(found, F.lit("T"), F.lit(" ")), F.lit("/"), F.lit("-"))
-    syslog = F.regexp_extract(line, rf"(\d{{2}}/[A-Z][a-z]{{2}}/\d{{4}}):{clock}", 0)
-    return F.coalesce(F.try_to_timestamp(F.nullif(plain, F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(F.nullif(syslog, F.lit("")), F.lit("dd/MMM/yyyy:HH:mm:ss")))
+    found = F.regexp_extract(line, rf"{date}[T ]{clock}([.,]\d{{1,6}})?(Z|[+-]\d{{2}}:?\d{{2}})?", 0)
+    plain = F.regexp_replace(F.translate(found, "T/,", " -."), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    access = F.regexp_extract(line, rf"(\d{{2}}/[A-Z][a-z]{{2}}/\d{{4}}):{clock}", 0)
+    syslog = F.regexp_replace(F.regexp_extract(line, rf"\b([A-Z][a-z]{{2}}) +(\d{{1,2}}) {clock}", 0), " +", " ")
+    read = lambda text, form: F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit(form))
+    return F.coalesce(F.try_to_timestamp(F.nullif(plain, F.lit(""))), read(access, "dd/MMM/yyyy:HH:mm:ss"), F.when(syslog != "", read(F.concat(F.lit(f"{year} "), syslog), "yyyy MMM d HH:mm:ss")))
 
 
 def _is_error() -> Column:

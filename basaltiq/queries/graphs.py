@@ -150,6 +150,19 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return graph.label_propagation(graph.cut(call_edges(spark, d)))
 
 
+COMMUNITIES = ", x AS (SELECT b.src, b.dst, b.weight, p.label AS a, q.label AS b FROM both_ b JOIN l3 p ON b.src = p.id JOIN l3 q ON b.dst = q.id), c AS (SELECT a AS label, sum(weight) AS total, sum(CASE WHEN a = b THEN weight ELSE 0 END) AS inside, count(*) FILTER (WHERE a = b AND src < dst) AS internal FROM x GROUP BY 1), z AS (SELECT label, count(*) AS size FROM l3 GROUP BY 1)"
+
+
+@Q(_labels_sql(3) + COMMUNITIES + " SELECT label, size, internal, round(CASE WHEN size > 1 THEN internal / (size * (size - 1) / 2) ELSE 0 END, 6) AS cohesion FROM z JOIN c USING (label) ORDER BY size DESC, label LIMIT 20")
+def largest_communities(spark: SparkSession, d: str) -> DataFrame:
+    return graph.communities(graph.cut(call_edges(spark, d)))[0].orderBy(F.desc("size"), "label").limit(20)
+
+
+@Q(_labels_sql(3) + COMMUNITIES + " SELECT count(*) AS communities, round(sum(inside / m - (total / m) * (total / m)), 6) AS modularity FROM c, (SELECT sum(total) AS m FROM c)")
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    return graph.communities(graph.cut(call_edges(spark, d)))[1]
+
+
 @Q(_labels_sql(3) + """, deg AS (SELECT src AS id, count(*) AS n FROM both_ GROUP BY 1), x AS (SELECT e.src, e.dst, 0.1 + CASE WHEN a.label <> b.label THEN 0.5 ELSE 0 END + CASE WHEN least(p.n, q.n) <= 2 AND greatest(p.n, q.n) >= 5 THEN 0.4 ELSE 0 END AS score
 FROM edges e JOIN l3 a ON e.src = a.id JOIN l3 b ON e.dst = b.id JOIN deg p ON e.src = p.id JOIN deg q ON e.dst = q.id WHERE e.src <> e.dst)
 SELECT src, dst, round(score, 4) AS score FROM x WHERE score > 0.4 ORDER BY 3 DESC, 1, 2 LIMIT 10""")

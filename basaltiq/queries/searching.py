@@ -128,19 +128,28 @@ def composite_rank(spark: SparkSession, d: str) -> DataFrame:
     return search.composite(signals).select("id", "score")
 
 
-PROVIDERS = {
-    "code": lambda s, d, q: read(s, d, "part").where(F.col("p_name").contains(q)).select(F.col("p_partkey").alias("id"), F.lit(0.9).alias("score")),
-    "docs": lambda s, d, q: search.keyword(read(s, d, "documents"), ["text"], q).select(F.col("doc_id").alias("id"), (F.col("score") * 0.8).alias("score")),
-    "files": lambda s, d, q: read(s, d, "pages").where(F.col("url").contains(q)).select(F.col("page_id").alias("id"), F.lit(0.6).alias("score")),
-}
+#: Providers of the federation: name, table, key, searched text and fixed score; the documents' score counts occurrences.
+SOURCES = (
+    ("code", "part", "p_partkey", "p_name", 0.9), ("types", "part", "p_partkey", "p_type", 0.85), ("brands", "part", "p_partkey", "p_brand", 0.85), ("authors", "customer", "c_custkey", "c_name", 0.75), ("teams", "customer", "c_custkey", "c_mktsegment", 0.7),
+    ("owners", "supplier", "s_suppkey", "s_name", 0.7), ("tickets", "orders", "o_orderkey", "o_orderpriority", 0.65), ("states", "orders", "o_orderkey", "o_orderstatus", 0.65), ("logs", "events", "event_id", "props", 0.6), ("events", "events", "event_id", "event_type", 0.55),
+    ("files", "pages", "page_id", "url", 0.6), ("content", "pages", "page_id", "html", 0.5), ("benchmarks", "benchmark", "item_id", "text", 0.5), ("chats", "conversations", "conv_id", "text", 0.45), ("origins", "documents", "doc_id", "source", 0.4),
+)
 
 
-@Q("""WITH c AS (SELECT 'code' AS provider, p_partkey AS id, 0.9::DOUBLE AS score FROM part WHERE contains(p_name, '12') ORDER BY 3 DESC, 2 LIMIT 10),
-t AS (SELECT 'docs' AS provider, doc_id AS id, round(least(1.0, 0.3 + 0.1 * ((length(text) - length(replace(text, '12', ''))) // 2)), 6) * 0.8 AS score FROM documents WHERE contains(text, '12') ORDER BY 3 DESC, 2 LIMIT 10),
-f AS (SELECT 'files' AS provider, page_id AS id, 0.6::DOUBLE AS score FROM pages WHERE contains(url, '12') ORDER BY 3 DESC, 2 LIMIT 10)
-SELECT *, row_number() OVER (ORDER BY score DESC, provider, id) AS position FROM (SELECT * FROM c UNION ALL SELECT * FROM t UNION ALL SELECT * FROM f)""")
+def _provider(table: str, key: str, text: str, score: float) -> search.Provider:
+    return lambda s, d, q: read(s, d, table).where(F.col(text).contains(q)).select(F.col(key).alias("id"), F.lit(score).alias("score")).distinct()
+
+
+PROVIDERS = {name: _provider(*rest) for name, *rest in SOURCES} | {"docs": lambda s, d, q: search.keyword(read(s, d, "documents"), ["text"], q).select(F.col("doc_id").alias("id"), (F.col("score") * 0.8).alias("score"))}
+FEDERATED = " UNION ALL ".join(
+    [f"(SELECT DISTINCT '{name}' AS provider, {key} AS id, {score}::DOUBLE AS score FROM {table} WHERE contains({text}, '12') ORDER BY 2 LIMIT 3)" for name, table, key, text, score in SOURCES]
+    + ["(SELECT 'docs' AS provider, doc_id AS id, round(least(1.0, 0.3 + 0.1 * ((length(text) - length(replace(text, '12', ''))) // 2)), 6) * 0.8 AS score FROM documents WHERE contains(text, '12') ORDER BY 3 DESC, 2 LIMIT 3)"]
+)
+
+
+@Q(f"SELECT *, row_number() OVER (ORDER BY score DESC, provider, id) AS position FROM ({FEDERATED})")
 def federated_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.federated(spark, d, "12", PROVIDERS, limit=30)
+    return search.federated(spark, d, "12", PROVIDERS, limit=48)
 
 
 @Q("SELECT page_id, CASE WHEN contains(url, 'page') THEN 0.6 WHEN contains(html, 'page') THEN 0.7 ELSE 1.0 END::DOUBLE AS score FROM pages")

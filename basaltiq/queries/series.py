@@ -110,10 +110,11 @@ def level_parse(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", logs.parse_level(text).alias("level"))
 
 
-@Q("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
+@Q("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN strftime(ts, '2000-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events")
 def timestamp_parse(spark: SparkSession, d: str) -> DataFrame:
-    style = F.pmod("event_id", F.lit(3))
-    line = F.when(style == 0, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" [INFO] x"))).when(style == 1, F.concat(F.lit("at "), F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" x"))).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z x")))
+    style, at = F.pmod("event_id", F.lit(5)), lambda form: F.date_format("ts", form)
+    line = F.when(style == 0, F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit(" [INFO] x"))).when(style == 1, F.concat(F.lit("at "), at("yyyy/MM/dd HH:mm:ss"), F.lit(" x"))).when(style == 2, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z x")))
+    line = line.when(style == 3, F.concat(F.date_format(F.expr("ts + INTERVAL 2 HOURS"), "yyyy-MM-dd HH:mm:ss"), F.lit(",250+0200 x"))).otherwise(F.concat(F.lit("<6>"), at("MMM d HH:mm:ss"), F.lit(" host x")))
     return read(spark, d, "events").select("event_id", F.date_format(logs.parse_timestamp(line), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

@@ -46,6 +46,89 @@ def test_betweenness_of_a_path(spark):
     assert got[2] == 1.0 and got[3] == 0.0
 
 
+def test_betweenness_by_enumeration(spark):
+    """Against all shortest paths of a small random graph, from all vertices and from some."""
+    import itertools
+    import random
+
+    r = random.Random(4)
+    pairs = {(a, b) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(34)) if a != b}
+    out = {v: [b for a, b in pairs if a == v] for v in range(14)}
+
+    def shortest(s, t):
+        level, seen = [[s]], {s}
+        while level:
+            done = [p for p in level if p[-1] == t]
+            if done:
+                return done
+            level = [[*p, b] for p in level for b in out[p[-1]] if b not in seen]
+            seen |= {p[-1] for p in level}
+        return []
+
+    want = dict.fromkeys(range(14), 0.0)
+    for s, t in itertools.permutations(range(14), 2):
+        paths = shortest(s, t)
+        for p in paths:
+            for v in p[1:-1]:
+                want[v] += 1 / len(paths)
+    got = {x.id: x.score for x in callgraph.betweenness(edges(spark, sorted(pairs))).collect()}
+    assert got and all(got[v] == pytest.approx(want[v], abs=1e-5) for v in got) and all(want[v] == 0 for v in want if v not in got)
+    assert callgraph.betweenness(edges(spark, sorted(pairs)), sources=3).count() > 0
+
+
+def test_fuzzy_search_by_brute_force(spark):
+    import difflib
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcde fg") for _ in range(r.randint(0, 12))) for _ in range(300)] + ["bead cafe", "BEAD CAFE", None]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, name string")
+    got = {x.id: x.score for x in search.fuzzy(df, "name", "bead cafe").collect()}
+    want = {k: difflib.SequenceMatcher(None, (w or "").lower(), "bead cafe", autojunk=False).ratio() for k, w in enumerate(words)}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.6}) and len(got) > 3
+
+
+def test_large_groups_meet_in_parts(spark, monkeypatch):
+    from basaltiq.operators import relational
+
+    rows = [(g, i) for g in range(4) for i in range(25 if g == 0 else 6)] + [(9, 100)]
+    df = spark.createDataFrame(rows, "g long, i long")
+    plain = {tuple(x) for x in relational.pairs_within(df, "g", "i", least=2).collect()}
+    other = df.where("g < 2").select("g", (F.col("i") + 50).alias("j"))
+    tokens = {tuple(x) for x in relational.shared_tokens(df, other, "g", "i", "j", least=1).collect()}
+    monkeypatch.setattr(relational, "UNIT_ROWS", 4)
+    assert {tuple(x) for x in relational.pairs_within(df, "g", "i", least=2).collect()} == plain
+    assert plain == {(a, b, 4) for a in range(6) for b in range(a + 1, 6)}
+    assert {tuple(x) for x in relational.shared_tokens(df, other, "g", "i", "j", least=1).collect()} == tokens
+
+
+def test_community_fixture(spark):
+    rows, total = graph.communities(edges(spark, [(1, 2), (2, 3), (1, 3), (4, 5)]))
+    assert sorted(r["size"] for r in rows.collect())[-1] == 3 and total.first().communities >= 2 and total.first().modularity >= 0
+
+
+def test_call_graph_fixture(spark):
+    """login > validate > session > send, log > send: callers, entry points, blast radius with and without callers."""
+    e = edges(spark, [(1, 2), (2, 3), (3, 4), (5, 4)])
+    assert {r.id for r in graph.reach(graph.reverse(e), ids(spark, 4)).where("depth > 0").collect()} == {1, 2, 3, 5}
+    none = callgraph.blast_radius(graph.reach(graph.reverse(e), ids(spark, 1), depth=4)).first()
+    assert (none.hit, none.score, none.risk) == (0, 0.0, "low")
+    some = callgraph.blast_radius(graph.reach(graph.reverse(e), ids(spark, 4), depth=4)).first()
+    assert (some.hit, some.score) == (4, pytest.approx(10 * (2 + 1 / 2 + 1 / 3), abs=1e-3))
+    assert {r.id: (r.fan_in, r.fan_out) for r in graph.explore(e, ids(spark, 4), direction="in", depth=1).collect()} == {4: (2, 0), 3: (1, 1), 5: (0, 1)}
+
+
+def test_timestamps_with_fractions_zones_and_no_year(spark):
+    df = spark.createDataFrame([("2026-06-17T14:30:00.250+02:00 x",), ("2026/06/17 14:30:00,5Z",), ("<6>Jun 7 04:05:06 host",), ("17/Jun/2026:14:30:00 +0000",), ("no time",)], "v string")
+    got = [str(r.t) for r in df.select(logs.parse_timestamp(F.col("v")).cast("string").alias("t")).collect()]
+    assert got == ["2026-06-17 12:30:00.25", "2026-06-17 14:30:00.5", "2000-06-07 04:05:06", "2026-06-17 14:30:00", "None"]
+
+
+def test_patterns_of_queries_are_checked():
+    with pytest.raises(ValueError):
+        compile_query({"field": "a", "op": "regexp", "value": "(.*)+x"}, ["a"])
+
+
 def test_co_change(spark):
     rows = [(c, f) for c in range(1, 5) for f in (1, 2)] + [(5, 1), (5, 3)]
     got = {(r.file_a, r.file_b): (r.score, r.risk) for r in history.co_change(spark.createDataFrame(rows, "commit long, file long"), least=1).collect()}
