@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basaltiq.operators.graph import cut, paths, reverse
+from basaltiq.operators.graph import cut, reverse
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
@@ -103,9 +103,23 @@ def betweenness(edges: DataFrame, *, sources: int | None = None) -> DataFrame:
     return found.groupBy("id").agg(F.round(F.sum("owed"), 6).alias("score"))
 
 
-def processes(edges: DataFrame, starts: DataFrame, *, branching: int, depth: int, least: int = 3, most: int = 75) -> DataFrame:
-    """``path, len``: flows from entry points along the heaviest ``branching`` calls of each function."""
+def processes(edges: DataFrame, scores: DataFrame, *, branching: int = 4, depth: int = 10, least: int = 3, most: int = 75, score: float = 50.0) -> DataFrame:
+    """``entry, trace, steps``: what the ``most`` best entry points of ``scores (id, score)`` with ``score`` or more reach, in breadth-first order
+    along the heaviest ``branching`` calls of each function; of equal traces the best entry's stays, and short ones leave."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    kept = cut(edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= branching).select("src", "dst"))
-    found = paths(kept, starts, depth).where(F.col("len") >= least - 1)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "len").orderBy(F.desc("len"), "path").limit(most)
+    kept = cut(edges.where("src <> dst").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branching).select("src", "dst", "rank"))
+    chosen = cut(scores.where(F.col("score") >= score).orderBy(F.desc("score"), "id").limit(most).select("id", "score"))
+    seen = cut(chosen.select(F.col("id").alias("entry"), "id", F.lit(0).cast("long").alias("place"), F.lit(0).alias("level")))
+    for level in range(1, depth + 1):
+        ahead = seen.where(F.col("level") == level - 1).join(kept, F.col("id") == F.col("src")).groupBy("entry", F.col("dst").alias("id")).agg(F.min(F.struct("place", "rank")).alias("way"))
+        fresh = ahead.join(seen.select("entry", "id"), ["entry", "id"], "left_anti")
+        # Places of a level follow those of the one before; only their order counts. An entry's rows are few: 4 calls each way.
+        order = F.row_number().over(Window.partitionBy("entry").orderBy("way")).cast("long")
+        step = cut(fresh.select("entry", "id", (F.lit(level) * (1 << 40) + order).alias("place"), F.lit(level).alias("level")))
+        if step.isEmpty():
+            break
+        seen = cut(seen.unionByName(step))
+    trace = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string")), ">")
+    found = seen.groupBy("entry").agg(trace.alias("trace"), F.count("*").alias("steps")).where(F.col("steps") >= least)
+    best = found.join(chosen.withColumnRenamed("id", "entry"), "entry").groupBy("trace").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry", "steps")).alias("b"))
+    return best.select("b.entry", "trace", "b.steps")

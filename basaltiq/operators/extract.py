@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basaltiq.operators.graph import cut, weak_components
+
 Rule = tuple[str, str, str]  # name, severity, pattern
 
 RULES: list[Rule] = [
@@ -180,22 +182,8 @@ def shared_state(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(run, "path string, name string")
 
 
-def mro(classes: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``name, mro``: C3 linearisation of ``classes (name, bases)``; inconsistent or cyclic ones have none."""
-    rows = classes.select("name", "bases").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} classes")
-    table = {r["name"]: list(r["bases"] or []) for r in rows}
-    known: dict[str, list[str] | None] = {}
-
-    def line(name: str, path: tuple[str, ...]) -> list[str] | None:
-        if name in path:
-            return None
-        if name not in known:
-            parents = table.get(name, [])
-            lists = [line(p, (*path, name)) for p in parents]
-            known[name] = None if None in lists else merged([name], [[*x] for x in lists] + [[*parents]])
-        return known[name]
+def _linearised(table: dict[str, list[str]]) -> dict[str, list[str] | None]:
+    """C3 for each name, by a stack; None for inconsistent and cyclic ones and for what builds on them."""
 
     def merged(out: list[str], lists: list[list[str]]) -> list[str] | None:
         while lists := [x for x in lists if x]:
@@ -206,5 +194,42 @@ def mro(classes: DataFrame, most: int = 1_000_000) -> DataFrame:
             lists = [x[1:] if x[0] == head else x for x in lists]
         return out
 
-    made = [(name, line(name, ())) for name in table]
-    return classes.sparkSession.createDataFrame(made, "name string, mro array<string>")
+    known: dict[str, list[str] | None] = {}
+    for root in table:
+        todo, open_ = [root], set()
+        while todo:
+            name = todo[-1]
+            open_.add(name)
+            parents = table.get(name, [])
+            missing = [p for p in parents if p not in known]
+            if name in known or not missing or any(p in open_ for p in missing):
+                if name not in known:
+                    lists = None if missing else [known[p] for p in parents]
+                    known[name] = None if lists is None or None in lists else merged([name], [[*x] for x in lists] + [[*parents]])
+                open_.discard(todo.pop())
+            else:
+                todo += missing
+    return known
+
+
+def mro(classes: DataFrame) -> DataFrame:
+    """``name, mro``: C3 linearisation of ``classes (name, bases)``; inconsistent or cyclic ones have none. Each connected
+    hierarchy is one task's work; what stands in several rows is the union of its bases."""
+    own = classes.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("bases", F.array().cast("array<string>"))))).alias("bases"))
+    own = cut(own)
+    tied = weak_components(own.select(F.col("name").alias("src"), F.explode("bases").alias("dst")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known = _linearised({n: list(b) for n, b in zip(rows["name"], rows["bases"], strict=True)})
+        return pd.DataFrame({"name": rows["name"], "mro": [known[n] for n in rows["name"]]})
+
+    grouped = own.join(tied, own["name"] == tied["id"], "left").select("name", "bases", F.coalesce("component", "name").alias("component"))
+    return grouped.groupBy("component").applyInPandas(run, "name string, mro array<string>")
+
+
+def overrides(linear: DataFrame, methods: DataFrame) -> DataFrame:
+    """``name, method, overridden``: methods ``(name, method)`` that the nearest class after the own one in ``linear (name, mro)`` defines too."""
+    after = linear.select("name", F.posexplode("mro").alias("place", "above")).where("place > 0")
+    theirs = methods.select(F.col("name").alias("above"), "method").distinct()
+    near = methods.distinct().join(after, "name").join(theirs, ["above", "method"])
+    return near.groupBy("name", "method").agg(F.min_by("above", "place").alias("overridden"))

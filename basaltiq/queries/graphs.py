@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltiq.operators import callgraph, graph
+from basaltiq.operators import callgraph, extract, graph
 from basaltiq.registry import CORE
 from basaltiq.sources.tables import call_edges, call_edges_sql, read
 
@@ -239,5 +241,18 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
 @Q()
 def processes(spark: SparkSession, d: str) -> DataFrame:
     e = graph.cut(call_edges(spark, d))
-    starts = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti")
-    return callgraph.processes(e, starts, branching=4, depth=6)
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("exported"))
+    return callgraph.processes(e, callgraph.entry_scores(p, e, handler="g$"))
+
+
+@Q("""WITH m AS (SELECT 'c' || c_custkey AS name, 'm' || (c_custkey % 5) AS method, 'n' || c_nationkey AS up, 'r' || n_regionkey AS top FROM customer JOIN nation ON c_nationkey = n_nationkey),
+n AS (SELECT 'n' || n_nationkey AS name, 'm' || (n_nationkey % 5) AS method, 'r' || n_regionkey AS up FROM nation), r AS (SELECT 'r' || r_regionkey AS name, 'm' || (r_regionkey % 5) AS method FROM region)
+SELECT m.name, m.method, CASE WHEN n.name IS NOT NULL THEN n.name ELSE r.name END AS overridden FROM m LEFT JOIN n ON m.up = n.name AND m.method = n.method LEFT JOIN r ON m.top = r.name AND m.method = r.method WHERE n.name IS NOT NULL OR r.name IS NOT NULL
+UNION ALL SELECT n.name, n.method, r.name FROM n JOIN r ON n.up = r.name AND n.method = r.method""")
+def override_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Customers derive from their nation, nations from their region."""
+    text = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    rows = [("customer", "c", "c_custkey", F.array(text("n", "c_nationkey"))), ("nation", "n", "n_nationkey", F.array(text("r", "n_regionkey"))), ("region", "r", "r_regionkey", F.array().cast("array<string>"))]
+    classes = [read(spark, d, t).select(text(head, key).alias("name"), up.alias("bases"), F.concat(F.lit("m"), (F.col(key) % 5).cast("string")).alias("method")) for t, head, key, up in rows]
+    both = reduce(DataFrame.unionByName, classes)
+    return extract.overrides(extract.mro(both.select("name", "bases")), both.select("name", "method"))

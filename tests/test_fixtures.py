@@ -124,6 +124,39 @@ def test_timestamps_with_fractions_zones_and_no_year(spark):
     assert got == ["2026-06-17 12:30:00.25", "2026-06-17 14:30:00.5", "2000-06-07 04:05:06", "2026-06-17 14:30:00", "None"]
 
 
+def test_processes_by_breadth_first_search(spark):
+    import random
+    from collections import deque
+
+    r = random.Random(6)
+    pairs = sorted({(a, b) for a, b in ((r.randrange(30), r.randrange(30)) for _ in range(90)) if a != b})
+    weight = {p: r.randint(1, 3) for p in pairs}
+    df = spark.createDataFrame([(*p, w) for p, w in weight.items()], "src long, dst long, weight long")
+    score = {v: 40 + 3 * (v % 7) for v in range(31)}
+    want = {}
+    for v in sorted(score, key=lambda v: (-score[v], v)):
+        if score[v] < 50 or len(want) == 75:
+            continue
+        trace, queue = [v], deque([(v, 0)])
+        while queue:
+            a, d = queue.popleft()
+            if d < 3:
+                for b in sorted((b for x, b in pairs if x == a), key=lambda b: (-weight[a, b], b))[:2]:  # noqa: B023
+                    if b not in trace:
+                        trace.append(b)
+                        queue.append((b, d + 1))
+        if len(trace) >= 3:
+            want.setdefault(">".join(map(str, trace)), v)
+    got = callgraph.processes(df, spark.createDataFrame(list(score.items()), "id long, score long"), branching=2, depth=3).collect()
+    assert {x.trace: x.entry for x in got} == want and all(x.steps == x.trace.count(">") + 1 for x in got)
+
+
+def test_deep_and_cyclic_hierarchies(spark):
+    rows = [(f"c{k:04d}", [f"c{k + 1:04d}"] if k < 1500 else []) for k in range(1501)] + [("x", ["y"]), ("y", ["x"]), ("z", ["x"]), ("o", None)]
+    got = {r["name"]: r["mro"] for r in extract.mro(spark.createDataFrame(rows, "name string, bases array<string>")).collect()}
+    assert len(got["c0000"]) == 1501 and got["x"] is got["y"] is got["z"] is None and got["o"] == ["o"]
+
+
 def test_patterns_of_queries_are_checked():
     with pytest.raises(ValueError):
         compile_query({"field": "a", "op": "regexp", "value": "(.*)+x"}, ["a"])
