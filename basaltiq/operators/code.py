@@ -201,6 +201,55 @@ def resolve_bases(bases: DataFrame, local: DataFrame, imports: DataFrame, known:
     return kept.select("child", name.alias("parent"), path.alias("parent_path"))
 
 
+#: Knowledge patterns by type, with flags (i: any case, m: lines, s: a dot is any sign) and confidence.
+KNOWLEDGE = {
+    "concept": [
+        (r"\*\*(?:Concept|Term|Entity|Domain)\s*\*{0,2}:\s*\*{0,2}(.+?)(?:\n|$)", "im", 1.0), (r"^[-*]\s+\*\*(.+?)\*\*\s*[—–\-:]\s*(.+?)$", "m", 0.6), (r"^\|\s*`(.+?)`\s*\|\s*(.+?)\s*\|", "m", 0.5),
+    ],
+    "constraint": [
+        (r"\*\*(?:Constraint|Rule|Must|Required)\*\*:?\s*(.+?)(?:\n|$)", "im", 1.0), (r"(?:^|\n)\s*[-*]\s*(?:MUST|SHOULD|MUST NOT|SHALL|REQUIRED)\s+(.+?)(?=\n|$)", "m", 0.9), (r"(?:cannot|can't|must not|may not|should not)\s+(.+?)[,.\n]", "i", 0.7),
+        (r"(?:is|are)\s+(?:always|never|required|mandatory)\s+(?:to|for|that)\s+(.+?)[,.\n]", "i", 0.6), (r"No\s+(?:direct\s+)?(?:access|modification|deletion)\s+(?:to|of|from)\s+(.+?)[,.\n]", "i", 0.7),
+    ],
+    "decision": [
+        (r"##+\s*(?:Decision|Approach|Solution|Chosen)\s*\n(.+?)(?=\n##+\s|\z)", "ims", 0.9), (r"\*\*(?:Decision|Approach|Solution)\*\*:?\s*(.+?)(?:\n|$)", "im", 0.8),
+        (r"We\s+(?:chose|adopted|selected|decided|implemented|migrated)\s+(.+?)[,.\n]", "i", 0.7), (r"(?:was|were)\s+(?:chosen|adopted|selected)\s+(?:due to|because of|for)\s+(.+?)[,.\n]", "i", 0.6),
+    ],
+    "flow": [
+        (r"##+\s*(?:Flow|Process|Lifecycle|Pipeline)\s*\n(.+?)(?=\n##+\s|\z)", "ims", 0.9), (r"\d+\.\s+(.+?)(?=\n\d+\.|\n\n|\z)", "m", 0.7), (r"Step\s+\d+[:\s]+(.+?)(?:\n|$)", "i", 0.7), (r"(?:flow|process|lifecycle|pipeline)[:\s]+(.+?)(?:\n\n|\z)", "ims", 0.6),
+    ],
+    "risk": [
+        (r"\*\*(?:Risk|Warning|Caution|Concern)\*\*:?\s*(.+?)(?:\n|$)", "im", 1.0), (r"(?:risk|risk of|risk that|danger|pitfall|drawback)[:\s]+(.+?)(?:\n|$)", "i", 0.8),
+        (r"(?:tightly coupled|high coupling|fragile|brittle|unstable|bottleneck)\s+(.+?)[,.\n]", "i", 0.7), (r"(?:single point of failure|SPOF|no fallback|no backup)\s*(.+?)[,.\n]", "i", 0.9),
+    ],
+    "invariant": [
+        (r"\*\*(?:Invariant|Integrity)\*\*:?\s*(.+?)(?:\n|$)", "im", 1.0), (r"(?:must always|must never|always must|must remain|must be unique)\s+(.+?)[,.\n]", "i", 0.9), (r"(?:invariant|integrity rule|business rule)[:\s]+(.+?)(?:\n|$)", "i", 0.8),
+        (r"Each\s+\w+\s+(?:must|shall|should)\s+(?:have|be|belong|contain)\s+(.+?)[,.\n]", "i", 0.7), (r"(?:unique|distinct|cannot duplicate)\s+(.+?)[,.\n]", "i", 0.6),
+    ],
+    "anti_pattern": [
+        (r"\*\*(?:Anti-pattern|Anti pattern|Avoid|Do not)\*\*:?\s*(.+?)(?:\n|$)", "im", 1.0), (r"(?:anti-pattern|bad practice|common mistake|code smell)[:\s]+(.+?)(?:\n|$)", "i", 0.8), (r"Don't\s+(.+?)[,.\n]", "i", 0.7), (r"avoid\s+(?:using|doing|creating|making)\s+(.+?)[,.\n]", "i", 0.7),
+    ],
+    "principle": [
+        (r"\*\*(?:Principle|Standard|Guideline)\*\*:?\s*(.+?)(?:\n|$)", "im", 1.0), (r"##+\s*(?:Principles?|Standards?)\s*\n(.+?)(?=\n##+\s|\z)", "ims", 0.9), (r"(?:principle|our philosophy|we believe|we follow)[:\s]+(.+?)(?:\n|$)", "i", 0.7),
+        (r"(modular[-_](?:first|by.design)|loose.coupling|high.cohesion|single.responsibility)", "i", 0.6),
+    ],
+}
+
+
+def knowledge(docs: DataFrame, ident: str, text: str, *, least: int = 15) -> DataFrame:
+    """``ident, kind, content, confidence``: what the patterns extract, without blanks around it; of equal openings (100 characters,
+    any case) of one type in a document the most confident stays."""
+
+    # d: as in the patterns' own dialect, only a line feed ends a line.
+    def hits(kind: str, pattern: str, flags: str, confidence: float) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"(?{flags}d){pattern}"), 1)
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("content"), F.lit(confidence).alias("confidence")))
+
+    found = [hits(kind, *rule) for kind, rules in KNOWLEDGE.items() for rule in rules]
+    rows = docs.select(ident, F.explode(F.concat(*found)).alias("f")).select(ident, "f.*").where(F.length("content") >= least)
+    best = rows.groupBy(ident, "kind", F.md5(F.lower(F.left("content", F.lit(100)))).alias("key")).agg(F.max_by(F.struct("content", "confidence"), F.struct("confidence", "content")).alias("b"))
+    return best.select(ident, "kind", "b.content", "b.confidence")
+
+
 #: Words of high criticality, and words by tag.
 CRITICAL = ("critical", "blocker", "must", "never", "always", "required", "vital", "essential", "mandatory", "security", "integrity")
 TAGS = {

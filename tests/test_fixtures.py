@@ -157,6 +157,32 @@ def test_deep_and_cyclic_hierarchies(spark):
     assert len(got["c0000"]) == 1501 and got["x"] is got["y"] is got["z"] is None and got["o"] == ["o"]
 
 
+def test_knowledge_patterns_by_the_plain_library(spark):
+    import re
+
+    from basaltiq.operators import code
+
+    texts = [
+        "**Concept:** an order is a set of lines\n- **Risk** - not a rule but a definition\n| `thing` | a thing of some kind |\n",
+        "**Rule**: never delete a committed row\n- MUST keep the audit trail whole\nYou cannot remove the last owner, ever.\nWe chose the columnar layout for speed.\n",
+        "## Decision\nUse one writer for each shard\nand many readers\n## Flow\n1. read the whole table\n2. write the result back\n\nStep 3: check that all counts agree\n",
+        "**Warning** the cache is a single point of failure for logins.\nThis is fragile under heavy load, sadly.\nEach order must have exactly one customer.\n",
+        "Don't call the database in a loop, please.\navoid using global mutable state.\nOur principle: keep modules small and whole\nloose-coupling single_responsibility\n**Invariant** ids never change after creation", "", None,
+    ]
+    want = {}
+    for i, t in enumerate(texts):
+        for kind, rules in code.KNOWLEDGE.items():
+            for p, flags, c in rules:
+                for m in re.finditer(f"(?{flags}){p}".replace(r"\z", r"\Z"), t or ""):
+                    content = m[1].strip()
+                    key = (i, kind, content[:100].lower())
+                    if len(content) >= 15 and (key not in want or (c, content) > want[key]):
+                        want[key] = (c, content)
+    got = {(x.id, x.kind, x.content): x.confidence for x in code.knowledge(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
+    assert got == {(i, kind, content): c for (i, kind, _), (c, content) in want.items()}
+    assert {kind for _, kind, _ in got} == set(code.KNOWLEDGE)
+
+
 def test_patterns_of_queries_are_checked():
     with pytest.raises(ValueError):
         compile_query({"field": "a", "op": "regexp", "value": "(.*)+x"}, ["a"])
