@@ -121,7 +121,7 @@ class LineRuns:
         return out
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batch_rows: int = 500_000, fan_in: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batch_rows: int = 1_000_000, fan_in: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, kept, n_lines, n_dropped, kept_sha256`` and the columns named in ``keep``, one row a document.
 
     Keys of at least ``min_chars`` code points in at least ``min_docs`` documents lose all their lines but those of the

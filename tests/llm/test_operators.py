@@ -243,6 +243,8 @@ def test_pii(spark):
     assert got[3].spans == "card:5:24,phone:29:46" and got[0].spans == got[7].spans == ""
     assert "secret:4:24" in got[4].spans and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.find(table(spark, [])).count() == 0
+    twice = pii.find(table(spark, texts).unionByName(table(spark, texts))).collect()
+    assert collections.Counter((r.doc_id, r.spans) for r in twice) == {(i, r.spans): 2 for i, r in got.items()}
 
 
 def test_pii_survives_long_numbers_and_any_case():
@@ -322,6 +324,8 @@ def test_warc(spark):
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if own == i else ("revisit", own))
         assert got[i].html == ((h or "") if own == i else None)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    again = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages.unionByName(pages))).collect())
+    assert again == {(i, r.record_type, r.refers_to): 2 for i, r in got.items()}
     some = warc.read_archives(warc.write_archives(pages, min_bytes=5))
     assert some.where("record_type = 'revisit'").count() == sum(len((h or "").encode()) >= 5 and last[h or ""] != i for i, _, h in rows)
     null_id = pages.limit(1).withColumn("page_id", F.lit(None).cast("long"))
@@ -512,6 +516,8 @@ def test_packing(spark, corpus):
         assert own.length.sum() <= 2048
         short += own.length.sum() < 2048
     assert short <= -(-got.length.sum() // 9000)
+    twice = packing.pack(table(spark, texts[:9]).unionByName(table(spark, texts[:9]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(table(spark, texts[:9])), tokenizer=tokenizer_path("byte_bpe_50k.json")).toPandas()
+    assert twice.length.sum() == 3 * got[got.doc_id < 9].length.sum() and twice.doc_id.isna().sum() >= 9
     assert packing.pack(table(spark, []), tokenizer=tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
