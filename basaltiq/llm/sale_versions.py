@@ -36,6 +36,9 @@ NONE = -(2**63)
 HOUR = 3_600_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Every start is one batch: a store that is closed after it holds no local files for the next ones.
+UNLOAD = "spark.sql.streaming.stateStore.unloadOnCommit"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 FED = "block int, shard int, kind string, client long, known boolean, at long, seq long, id long, op string, cents long, step long, sales_mark long, changes_mark long"
 OUT = "rec string, id long, batch long, n_held long, change_id long, balance_cents long, op string"
@@ -216,8 +219,12 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, *, batches: int = 8, firs
     op, valid_at, balance)`` by that of ``valid_at`` plus a delay of 0 to 3 days that follows from their id."""
     spark = sales.sparkSession
     base, out, checkpoint = _cut(spark, sales, changes, batches, first_day, days, slack_hours, block_rows), fresh_path(spark, "sale-versions-out"), fresh_path(spark, "sale-versions-state")
-    was = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    # A state partition has a store of its own: no more of them than there are blocks and shards.
+    keys = spark.read.schema(FED).parquet(f"{base}/batch={batches}").count()
+    settings = {PROVIDER: ROCKS, UNLOAD: "true", PARTITIONS: str(min(keys, int(spark.conf.get(PARTITIONS))))}
+    was = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         for step in range(batches + 1):
             # The source is what has been published so far; the checkpoint knows the files of earlier starts.
@@ -225,7 +232,8 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, *, batches: int = 8, firs
             made = stream.groupBy("block", "shard").transformWithStateInPandas(Enricher(batches), OUT, "Append", "None")
             made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
     return spark.read.schema(OUT).parquet(out)
 
 
