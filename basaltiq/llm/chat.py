@@ -10,7 +10,7 @@ whole transcript: every segment gives the best scores from each state before it
 one stream over these carries the scores forward, a second one goes back and fixes each segment's first and last state, and
 then the segments are decoded apart. The streams see a row of 78 numbers for each segment.
 
-Defined results: a null text is an empty line; a turn without a number has no order, so each such turn is a transcript of its
+Defined results: a null text is an empty line; a turn without a number or a conversation has no order, so each such turn is a transcript of its
 own, without segment; null or unknown roles are taken for ``user`` when counting; repeated rows are turns of their own; an
 empty transcript has no turns.
 """
@@ -239,7 +239,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     The turns are first written as raw transcripts without roles; those are parsed, and compared with the roles. The model
     is counted on conversations whose crc32(conv_id as text) mod 5 is not 0; the others are held out.
     """
-    turn, number, role = F.col("turn").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit(0)), F.coalesce("role", F.lit("user"))
+    # Turns without a conversation are told apart like those without a number, or all of them would be one transcript.
+    turn = F.when(F.col("conv_id").isNotNull(), F.col("turn").cast("long"))
+    number, role = F.coalesce(turn, F.lit(0)), F.coalesce("role", F.lit("user"))
     text = _styled(F.col("conv_id"), role, number, F.col("text"))
     own = conversations.select(
         F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("conv"), F.floor(turn / SEGMENT_TURNS).alias("segment"), number.alias("turn"), role.alias("role"),

@@ -310,9 +310,11 @@ def test_label_model_by_enumeration():
 
 
 def test_warc(spark):
-    rows = [(k, f"http://x/{k}\r\n", "same" if k % 3 == 0 else f"<p>{k}</p>" * (k % 9)) for k in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "é" * 70000)]
+    # Payloads that do not compress: a task of a third of them fills several archives, and so does a task of all.
+    noise = lambda k: random.Random(k).randbytes(700).hex()
+    rows = [(k, f"http://x/{k}\r\n", "same" if k % 3 == 0 else noise(k) * (k % 9 > 0)) for k in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "é" * 70000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "refers_to": F.lit(2)})
-    manifest = warc.write_archives(pages.repartition(3), archive_bytes=20_000)
+    manifest = warc.write_archives(pages.repartition(3), archive_bytes=2_000)
     assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count() > 1
     got = {r.page_id: r for r in warc.read_archives(manifest).collect()}
     last = {}
@@ -674,6 +676,13 @@ def test_long_conversations_keep_the_path_of_the_whole(spark, monkeypatch):
     assert max(x[3] for x in cut.values()) > 4
 
 
+def test_chat_keeps_turns_without_a_conversation_apart(spark):
+    rows = [(None, k, "user", f"question {k}") for k in range(4)] + [(None, k, "assistant", f"answer {k}") for k in range(2)] + [(1, 0, "user", "hello")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    alone = [r for r in got if r.conv_id is None]
+    assert len(alone) == 6 and all(r.segment is None and r.n_lines == 1 for r in alone) and len(got) == 7
+
+
 def test_chat_finds_roles_of_held_out_conversations(spark):
     got = chat.format_chats(spark.read.parquet(f"{SF}/conversations.parquet")).where("held_out").agg(F.sum("n_lines").alias("n"), F.sum("n_role_errors").alias("wrong")).first()
     assert got.n > 20 and got.wrong / got.n < 0.2
