@@ -99,8 +99,9 @@ def betweenness(edges: DataFrame, *, sources: int | None = None) -> DataFrame:
         passed = own.join(links, F.col("id") == F.col("dst")).join(before, (own["s"] == before["s"]) & (F.col("src") == F.col("v")))
         owed = passed.groupBy(own["s"], F.col("v").alias("id")).agg(F.sum(F.col("ways_v") / F.col("ways") * (1 + F.col("owed"))).alias("owed"))
     if found is None:
-        return ids.select("id", F.lit(0.0).alias("score")).limit(0)
-    return found.groupBy("id").agg(F.round(F.sum("owed"), 6).alias("score"))
+        return ids.select("id", F.lit(0.0).alias("score"))
+    owing = found.groupBy("id").agg(F.round(F.sum("owed"), 6).alias("score"))
+    return ids.join(owing, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def processes(edges: DataFrame, scores: DataFrame, *, branching: int = 4, depth: int = 10, least: int = 3, most: int = 75, score: float = 50.0) -> DataFrame:

@@ -109,18 +109,21 @@ def empty_bodies(sources: DataFrame) -> DataFrame:
 
 
 def unclosed_brackets(sources: DataFrame) -> DataFrame:
-    """``path, n, unclosed, unmatched``: per line, outside strings and comments, brackets left open and closing ones without an open one."""
+    """``path, n, unclosed, unmatched, mismatched``: per line, outside strings and comments, brackets left open, closing ones
+    without an open one, and closing ones that close another kind."""
     bare = F.regexp_replace(F.regexp_replace("line", r'"(\\.|[^"\\])*"?|\'(\\.|[^\'\\])*\'?', ""), "#.*", "")
     signs = F.split(F.regexp_replace(bare, r"[^\[\](){}]", ""), "")
-    start = F.struct(F.lit("").alias("open"), F.lit(0).cast("long").alias("bad"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("open"), zero.alias("unmatched"), zero.alias("mismatched"))
 
     def step(s: Column, c: Column) -> Column:
-        opens, closes = c.isin("(", "[", "{"), c.isin(")", "]", "}")
-        rest = F.when(opens, F.concat(s["open"], c)).when(closes & (F.length(s["open"]) > 0), F.left(s["open"], F.length(s["open"]) - 1)).otherwise(s["open"])
-        return F.struct(rest.alias("open"), (s["bad"] + F.when(closes & (F.length(s["open"]) == 0), 1).otherwise(0)).alias("bad"))
+        opens, closes, last = c.isin("(", "[", "{"), c.isin(")", "]", "}"), F.right(s["open"], F.lit(1))
+        rest = F.when(opens, F.concat(s["open"], c)).when(closes & (last != ""), F.left(s["open"], F.length(s["open"]) - 1)).otherwise(s["open"])
+        other = closes & (last != "") & (F.translate(last, "([{", ")]}") != c)
+        return F.struct(rest.alias("open"), (s["unmatched"] + F.when(closes & (last == ""), 1).otherwise(0)).alias("unmatched"), (s["mismatched"] + F.when(other, 1).otherwise(0)).alias("mismatched"))
 
     found = lines(sources).select("path", "n", F.aggregate(signs, start, step).alias("s"))
-    return found.select("path", "n", F.length("s.open").cast("long").alias("unclosed"), F.col("s.bad").alias("unmatched")).where("unclosed + unmatched > 0")
+    return found.select("path", "n", F.length("s.open").cast("long").alias("unclosed"), "s.unmatched", "s.mismatched").where("unclosed + unmatched + mismatched > 0")
 
 
 def functions(sources: DataFrame, *, ahead: int = 200) -> DataFrame:

@@ -43,11 +43,13 @@ def empty_bodies(spark: SparkSession, d: str) -> DataFrame:
     return code.empty_bodies(_sources(spark, d))
 
 
-STACK = "list_reduce(list_concat(['|'], string_split(signs, '')), lambda s, c: CASE WHEN c IN ('(', '[', '{') THEN s || c WHEN c IN (')', ']', '}') AND right(s, 1) IN ('(', '[', '{') THEN left(s, length(s) - 1) WHEN c IN (')', ']', '}') THEN '!' || s ELSE s END)"
+#: Marks before the bar (! unmatched, ? of another kind), open brackets after it.
+STACK = """list_reduce(list_concat(['|'], string_split(signs, '')), lambda s, c: CASE WHEN c IN ('(', '[', '{') THEN s || c WHEN c IN (')', ']', '}') AND right(s, 1) <> '|'
+  THEN CASE WHEN translate(right(s, 1), '([{', ')]}') = c THEN '' ELSE '?' END || left(s, length(s) - 1) WHEN c IN (')', ']', '}') THEN '!' || s ELSE s END)"""
 
 
 @Q(f"""WITH {LINES_SQL}, b AS (SELECT path, n, regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"', '', 'g'), '#.*', ''), '[^\\[\\](){{}}]', '', 'g') AS signs FROM l), s AS (SELECT path, n, CASE WHEN signs = '' THEN '|' ELSE {STACK} END AS s FROM b)
-SELECT path, n, length(s) - strpos(s, '|') AS unclosed, strpos(s, '|') - 1 AS unmatched FROM s WHERE s <> '|'""")
+SELECT path, n, length(s) - strpos(s, '|') AS unclosed, length(s) - length(replace(s, '!', '')) AS unmatched, length(s) - length(replace(s, '?', '')) AS mismatched FROM s WHERE s <> '|'""")
 def unclosed_brackets(spark: SparkSession, d: str) -> DataFrame:
     return code.unclosed_brackets(_sources(spark, d))
 
