@@ -93,31 +93,34 @@ class Enricher(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         fed = pd.concat(rows, ignore_index=True)
-        clock = fed[fed["kind"] == "clock"].iloc[0]
-        step, changes_mark = int(clock["step"]), int(clock["changes_mark"])
-        upto = min(int(clock["sales_mark"]), changes_mark)
         held, waiting = _frame(VERSIONS, list(self._versions.get())), _frame(WAITING, list(self._waiting.get()))
-
-        new = fed[fed["kind"] == "change"]
-        late = new[new["at"] < changes_mark]
-        if key[1] == 0 and len(late):
-            yield _result("late", late["id"].to_numpy(np.int64), step)
-        new = new[(new["at"] >= changes_mark) & new["known"].astype(bool)]
-        if len(new):
-            both = {c: np.concatenate([held[c], new[c].to_numpy(KINDS[c])]) for c in VERSIONS}
-            order = np.lexsort((both["id"], both["seq"], both["at"], both["client"]))
-            held = {c: v[order] for c, v in both.items()}
-
-        sales = fed[fed["kind"] == "sale"]
-        sales = {c: np.concatenate([waiting[c], sales[c].to_numpy(KINDS[c])]) for c in WAITING}
-        out = (sales["at"] == NONE) | (sales["at"] < upto) | (step == self._last)
-        if out.any():
-            yield self._emitted({c: v[out] for c, v in sales.items()}, held, step)
-        if out.any() or len(sales["at"]) > len(waiting["at"]):
-            _put(self._waiting, _runs(WAITING, {c: v[~out] for c, v in sales.items()}))
-        kept = pruned(held, upto)
-        if len(new) or len(kept["at"]) < len(held["at"]):
-            _put(self._versions, _runs(VERSIONS, kept))
+        new, sales = fed[fed["kind"] == "change"], fed[fed["kind"] == "sale"]
+        touched = bool(len(new))
+        waiting = {c: np.concatenate([waiting[c], sales[c].to_numpy(KINDS[c])]) for c in WAITING}
+        changed = bool(len(sales))
+        # The last batch has a second clock, which closes the stream: what still waits is emitted after the batch's own sales.
+        for clock in fed[fed["kind"] == "clock"].sort_values("step").itertuples():
+            step, changes_mark = int(clock.step), int(clock.changes_mark)
+            upto = min(int(clock.sales_mark), changes_mark)
+            late = new[new["at"] < changes_mark]
+            if key[1] == 0 and len(late):
+                yield _result("late", late["id"].to_numpy(np.int64), step)
+            more = new[(new["at"] >= changes_mark) & new["known"].astype(bool)]
+            if len(more):
+                both = {c: np.concatenate([held[c], more[c].to_numpy(KINDS[c])]) for c in VERSIONS}
+                order = np.lexsort((both["id"], both["seq"], both["at"], both["client"]))
+                held = {c: v[order] for c, v in both.items()}
+            new = new.iloc[:0]
+            out = (waiting["at"] == NONE) | (waiting["at"] < upto) | (step == self._last)
+            if out.any():
+                yield self._emitted({c: v[out] for c, v in waiting.items()}, held, step)
+                waiting, changed = {c: v[~out] for c, v in waiting.items()}, True
+            kept = pruned(held, upto)
+            touched, held = touched or len(kept["at"]) < len(held["at"]), kept
+        if changed:
+            _put(self._waiting, _runs(WAITING, waiting))
+        if touched:
+            _put(self._versions, _runs(VERSIONS, held))
 
     @staticmethod
     def _emitted(sales: dict[str, np.ndarray], held: dict[str, np.ndarray], step: int) -> pd.DataFrame:
@@ -193,7 +196,8 @@ def _cut(spark: SparkSession, sales: DataFrame, changes: DataFrame, batches: int
         "block", "shard", F.lit("change").alias("kind"), "client", "known", _micros(F.col("valid_at")).alias("at"), _or_none(F.col("seq")).alias("seq"), _or_none(F.col("change_id")).alias("id"),
         "op", _or_none(cents).alias("cents"), _batch(day, batches, first_day, days).alias("step"), zero.alias("sales_mark"), zero.alias("changes_mark"))
     for rows in (sold, changed):
-        rows.withColumn("batch", F.col("step")).write.mode("append").option("compression", "zstd").partitionBy("batch").parquet(base)
+        # No more files of a batch than there are blocks.
+        rows.coalesce(blocks).withColumn("batch", F.col("step")).write.mode("append").option("compression", "zstd").partitionBy("batch").parquet(base)
 
     largest = spark.read.schema(FED).parquet(base).where(F.col("at") > NONE).groupBy("step", "kind").agg(F.max("at").alias("at")).collect()
     marks = []
@@ -208,7 +212,7 @@ def _cut(spark: SparkSession, sales: DataFrame, changes: DataFrame, batches: int
     have = {"block": F.col("block"), "shard": F.col("shard"), "kind": F.lit("clock")} | {c: F.col(f"c.{c}") for c in ("step", "sales_mark", "changes_mark")}
     fields = [p.strip().split() for p in FED.split(",")]
     clocks = clocks.select(*[have.get(c, F.lit(None if kind == "string" else 0)).cast(kind).alias(c) for c, kind in fields])
-    clocks.withColumn("batch", F.col("step")).write.mode("append").partitionBy("batch").parquet(base)
+    clocks.coalesce(1 + blocks // block_rows).withColumn("batch", F.least("step", F.lit(batches - 1))).write.mode("append").partitionBy("batch").parquet(base)
     return base
 
 
@@ -220,13 +224,13 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, *, batches: int = 8, firs
     spark = sales.sparkSession
     base, out, checkpoint = _cut(spark, sales, changes, batches, first_day, days, slack_hours, block_rows), fresh_path(spark, "sale-versions-out"), fresh_path(spark, "sale-versions-state")
     # A state partition has a store of its own: no more of them than there are blocks and shards.
-    keys = spark.read.schema(FED).parquet(f"{base}/batch={batches}").count()
+    keys = spark.read.schema(FED).parquet(f"{base}/batch={batches - 1}").where((F.col("kind") == "clock") & (F.col("step") == batches)).count()
     settings = {PROVIDER: ROCKS, UNLOAD: "true", PARTITIONS: str(min(keys, int(spark.conf.get(PARTITIONS))))}
     was = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
-        for step in range(batches + 1):
+        for step in range(batches):
             # The source is what has been published so far; the checkpoint knows the files of earlier starts.
             stream = spark.readStream.schema(FED).parquet(f"{base}/batch={{{','.join(map(str, range(step + 1)))}}}")
             made = stream.groupBy("block", "shard").transformWithStateInPandas(Enricher(batches), OUT, "Append", "None")
