@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basaltiq.operators.graph import cut, weak_components
+from basaltiq.operators.graph import cut, layers
 
 Rule = tuple[str, str, str]  # name, severity, pattern
 
@@ -182,49 +183,50 @@ def shared_state(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(run, "path string, name string")
 
 
-def _linearised(table: dict[str, list[str]]) -> dict[str, list[str] | None]:
-    """C3 for each name, by a stack; None for inconsistent and cyclic ones and for what builds on them."""
-
-    def merged(out: list[str], lists: list[list[str]]) -> list[str] | None:
-        while lists := [x for x in lists if x]:
-            head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
-            if head is None:
-                return None
-            out.append(head)
-            lists = [x[1:] if x[0] == head else x for x in lists]
-        return out
-
-    known: dict[str, list[str] | None] = {}
-    for root in table:
-        todo, open_ = [root], set()
-        while todo:
-            name = todo[-1]
-            open_.add(name)
-            parents = table.get(name, [])
-            missing = [p for p in parents if p not in known]
-            if name in known or not missing or any(p in open_ for p in missing):
-                if name not in known:
-                    lists = None if missing else [known[p] for p in parents]
-                    known[name] = None if lists is None or None in lists else merged([name], [[*x] for x in lists] + [[*parents]])
-                open_.discard(todo.pop())
-            else:
-                todo += missing
-    return known
+def _merged(name: str, lists: list[list[str]]) -> list[str] | None:
+    """The name, then always the first head that stands in no other list's tail; None where there is no such head."""
+    out = [name]
+    while lists := [x for x in lists if x]:
+        head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
+        if head is None:
+            return None
+        out.append(head)
+        lists = [x[1:] if x[0] == head else x for x in lists]
+    return out
+
+
+def _linear(names: pd.Series, parents: pd.Series) -> pd.Series:
+    """A class from its bases ``(base, mro)``, in order; None where a base has none."""
+
+    def one(name: str, own: list[dict]) -> list[str] | None:
+        if any(x["mro"] is None for x in own):
+            return None
+        return _merged(name, [*[list(x["mro"]) for x in own], [x["base"] for x in own]])
+
+    return pd.Series([one(n, list(p)) for n, p in zip(names, parents, strict=True)])
 
 
 def mro(classes: DataFrame) -> DataFrame:
-    """``name, mro``: C3 linearisation of ``classes (name, bases)``; inconsistent or cyclic ones have none. Each connected
-    hierarchy is one task's work; what stands in several rows is the union of its bases."""
-    own = classes.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("bases", F.array().cast("array<string>"))))).alias("bases"))
-    own = cut(own)
-    tied = weak_components(own.select(F.col("name").alias("src"), F.explode("bases").alias("dst")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = _linearised({n: list(b) for n, b in zip(rows["name"], rows["bases"], strict=True)})
-        return pd.DataFrame({"name": rows["name"], "mro": [known[n] for n in rows["name"]]})
-
-    grouped = own.join(tied, own["name"] == tied["id"], "left").select("name", "bases", F.coalesce("component", "name").alias("component"))
-    return grouped.groupBy("component").applyInPandas(run, "name string, mro array<string>")
+    """``name, mro``: C3 linearisation of ``classes (name, bases)``; inconsistent or cyclic ones, and what builds on them, have none.
+    What stands in several rows is the union of its bases; bases that are no rows have no bases.
+
+    Classes are linearised in topological waves, each from the arrays of its own bases: a row at a time, so that no task sees more
+    of a hierarchy than a class and its bases, whatever joins them above."""
+    own = cut(classes.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("bases", F.array().cast("array<string>"))))).alias("bases")))
+    links = cut(own.select("name", F.posexplode("bases").alias("place", "base")))
+    waves = cut(layers(links.select(F.col("base").alias("src"), F.col("name").alias("dst")), own.select(F.col("name").alias("id"))))
+    linear = F.pandas_udf(_linear, "array<string>")
+    known = cut(waves.where("layer = 0").select(F.col("id").alias("name"), F.array("id").alias("mro")))
+    highest = waves.agg(F.max("layer").alias("n")).first().n or 0
+    done = [known]
+    for level in range(1, highest + 1):
+        wave = waves.where(F.col("layer") == level).select(F.col("id").alias("name"))
+        # Bases may stand in any lower wave.
+        below = reduce(DataFrame.unionByName, done).withColumnRenamed("name", "base")
+        own_bases = links.join(wave, "name", "left_semi").join(below, "base")
+        gathered = own_bases.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "base", "mro"))).alias("parents"))
+        done.append(cut(gathered.select("name", linear("name", F.transform("parents", lambda x: F.struct(x["base"].alias("base"), x["mro"].alias("mro")))).alias("mro"))))
+    return own.select("name").join(reduce(DataFrame.unionByName, done), "name", "left")
 
 
 def overrides(linear: DataFrame, methods: DataFrame) -> DataFrame:

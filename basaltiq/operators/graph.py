@@ -35,16 +35,102 @@ def cut(df: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, *, depth: int | None = None) -> DataFrame:
     """``id, depth``: everything reachable from ``seeds (id)``, at its least depth; unbounded if ``depth`` is None."""
     links = cut(edges.select("src", "dst").distinct())
-    seen = cut(seeds.select("id", F.lit(0).cast("long").alias("depth")))
-    frontier, level = seen, 0
+    spark, path = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/graph-{uuid.uuid4().hex}"
+    frontier, level = cut(seeds.select("id", F.lit(0).cast("long").alias("depth")).distinct()), 0
+    seen = lambda: spark.read.schema(frontier.schema).parquet(path)
+    frontier.write.mode("append").parquet(path)
     while depth is None or level < depth:
         level += 1
-        step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id")).distinct().join(seen(), "id", "left_anti")
         frontier = cut(step.withColumn("depth", F.lit(level).cast("long")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        frontier.write.mode("append").parquet(path)  # levels are added to one folder; none is written twice
+    return seen()
+
+
+def layers(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """``id, layer``: topological waves. Vertices without predecessors have layer 0; one whose predecessors are all done has one more
+    than the last of them. What never becomes ready, as it is on a cycle or hangs on one, has none.
+
+    A wave follows only the edges that leave it and appends the predecessors it has met; nothing that is done is written again."""
+    spark = edges.sparkSession
+    links = cut(edges.select("src", "dst").distinct())
+    ends = links.select(F.explode(F.array("src", "dst")).alias("id"))
+    ids = cut((ends if vertices is None else ends.unionByName(vertices.select("id"))).distinct())
+    need = cut(links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need")))
+    met_at, done_at = (f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}" for _ in range(2))
+    wave, level = cut(ids.join(need, "id", "left_anti")), 0
+    while True:
+        wave.withColumn("layer", F.lit(level).cast("long")).write.mode("append").parquet(done_at)
+        step = cut(wave.join(links, wave["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met")))
+        if step.isEmpty():
+            break
+        step.write.mode("append").parquet(met_at)
+        met = spark.read.schema(step.schema).parquet(met_at).join(step.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("met").alias("met"))
+        wave, level = cut(met.join(need, "id").where(F.col("met") == F.col("need")).select("id")), level + 1
+    done = spark.read.schema(f"id {dict(ids.dtypes)['id']}, layer long").parquet(done_at)
+    return ids.join(done, "id", "left")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, *, depth: int = 10) -> DataFrame:
+    """``a, b, path, len``: for each of ``pairs (a, b)`` a shortest path of at most ``depth`` edges, on ties the least by its vertices.
+    Pairs without one have no row; a vertex's path to itself is of length 0.
+
+    Search goes from both ends, a level of each side in turn. A level keeps the least parent of each vertex it reaches; sides meet
+    where a vertex has been reached from both, and least paths are traced back from there, one parent a join."""
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    open_ = cut(pairs.select("a", "b").distinct())
+    side = lambda end: open_.select("a", "b", F.col(end).alias("id"), F.lit(0).alias("d"))
+    ahead, back = [cut(side("a"))], [cut(side("b"))]
+    seen = {"ahead": ahead[0].select("a", "b", "id"), "back": back[0].select("a", "b", "id")}
+    lengths = cut(open_.where("a = b").withColumn("len", F.lit(0)))
+    left = cut(open_.where("a <> b"))
+    for n in range(1, depth + 1):
+        name, levels, own, far = ("ahead", ahead, "src", "dst") if n % 2 else ("back", back, "dst", "src")
+        other = back if n % 2 else ahead
+        step = levels[-1].join(left, ["a", "b"], "left_semi").join(links, F.col("id") == F.col(own)).select("a", "b", F.col(far).alias("id")).distinct()
+        fresh = cut(step.join(seen[name], ["a", "b", "id"], "left_anti").withColumn("d", F.lit(len(levels))))
+        if fresh.isEmpty():
+            break
+        levels.append(fresh)
+        seen[name] = seen[name].unionByName(fresh.select("a", "b", "id"))
+        # The other side's last level is the only one that this level can meet first.
+        met = cut(fresh.join(other[-1].select("a", "b", "id"), ["a", "b", "id"]).select("a", "b").distinct().withColumn("len", F.lit(n)))
+        lengths = cut(lengths.unionByName(met))
+        left = cut(left.join(met, ["a", "b"], "left_anti"))
+        if left.isEmpty():
+            break
+    return _least_paths(links, lengths, ahead, back)
+
+
+def _least_paths(links: DataFrame, lengths: DataFrame, ahead: list[DataFrame], back: list[DataFrame]) -> DataFrame:
+    """Along vertices whose distances from both ends add up to the length: from the start, the least next vertex each time."""
+    # Distances to the end: those of the backward levels, and one more than the next vertex's for the forward ones. A pair's levels
+    # end where it has met, so both may hold what is ``k`` edges from the end.
+    near = [cut(back[0].join(lengths, ["a", "b"], "left_semi").select("a", "b", "id"))]
+    longest = lengths.agg(F.max("len").alias("m")).first().m or 0
+    for k in range(1, longest + 1):
+        rest = [level.join(lengths.where(F.col("len") == k + d), ["a", "b"]) for d, level in enumerate(ahead)]
+        some = rest[0].select("a", "b", "id")
+        for x in rest[1:]:
+            some = some.unionByName(x.select("a", "b", "id"))
+        next_ = near[k - 1].select("a", "b", F.col("id").alias("dst"))
+        found = some.join(links, F.col("id") == F.col("src")).join(next_, ["a", "b", "dst"]).select("a", "b", "id")
+        if k < len(back):
+            found = found.unionByName(back[k].join(lengths, ["a", "b"], "left_semi").select("a", "b", "id"))
+        near.append(cut(found.distinct()))
+    paths_ = cut(lengths.select("a", "b", "len", F.array("a").alias("path")))
+    for n in range(1, longest + 1):
+        to = None
+        for k in range(min(longest - n + 1, len(near))):
+            level = near[k].withColumn("rest", F.lit(k))
+            to = level if to is None else to.unionByName(level)
+        going = paths_.where(F.col("len") >= n).withColumn("rest", F.col("len") - n)
+        ways = going.join(links, F.element_at("path", -1) == F.col("src")).join(to.withColumnRenamed("id", "dst"), ["a", "b", "dst", "rest"])
+        best = ways.groupBy("a", "b").agg(F.min("dst").alias("next"))
+        paths_ = cut(paths_.join(best, ["a", "b"], "left").select("a", "b", "len", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path")))
+    return paths_.select("a", "b", "path", F.col("len").cast("long").alias("len"))
 
 
 def reverse(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltiq.operators import callgraph, extract, graph
+from basaltiq.operators import callgraph, communities, extract, graph
 from basaltiq.registry import CORE
 from basaltiq.sources.tables import call_edges, call_edges_sql, read
 
@@ -256,3 +256,36 @@ def override_detection(spark: SparkSession, d: str) -> DataFrame:
     classes = [read(spark, d, t).select(text(head, key).alias("name"), up.alias("bases"), F.concat(F.lit("m"), (F.col(key) % 5).cast("string")).alias("method")) for t, head, key, up in rows]
     both = reduce(DataFrame.unionByName, classes)
     return extract.overrides(extract.mro(both.select("name", "bases")), both.select("name", "method"))
+
+
+def _least_paths_sql(depth: int) -> str:
+    """The least of the shortest paths, level by level: its beginning is the least path of the vertex before."""
+    levels = [f"""p{k} AS MATERIALIZED (SELECT dst AS id, min(list_append(path, dst)) AS path FROM p{k - 1} JOIN edges ON src = id WHERE dst NOT IN ({" UNION ALL ".join(f"SELECT id FROM p{j}" for j in range(k))}) GROUP BY 1)""" for k in range(1, depth + 1)]
+    return f"WITH {CG}, p0 AS (SELECT {SEED} AS id, [{SEED}] AS path), {', '.join(levels)} SELECT a, id AS b, array_to_string(path, '>') AS path, len FROM (SELECT {SEED} AS a), (" + " UNION ALL ".join(f"SELECT id, path, {k}::BIGINT AS len FROM p{k}" for k in range(depth + 1)) + ") WHERE id % 20 = 0"
+
+
+@Q(_least_paths_sql(7))
+def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """From the first caller to every part whose key 20 divides, within seven calls, with the vertices on the way."""
+    e = graph.cut(call_edges(spark, d))
+    ends = read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("b"))
+    found = graph.shortest_paths(e, ends.join(F.broadcast(_seed(e).withColumnRenamed("id", "a"))), depth=7)
+    return found.select("a", "b", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "len")
+
+
+def _layers_sql(waves: int) -> str:
+    """``waves`` exceeds the depth of any acyclic part here."""
+    steps = [f"w{k} AS MATERIALIZED (SELECT * FROM w{k - 1} UNION ALL SELECT id, {k}::BIGINT FROM v WHERE id NOT IN (SELECT id FROM w{k - 1}) AND id NOT IN (SELECT dst FROM edges WHERE src NOT IN (SELECT id FROM w{k - 1})))" for k in range(1, waves + 1)]
+    return f"WITH {CG}, v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), w0 AS MATERIALIZED (SELECT id, 0::BIGINT AS layer FROM v WHERE id NOT IN (SELECT dst FROM edges)), {', '.join(steps)} SELECT v.id, layer, layer IS NULL AS cyclic FROM v LEFT JOIN w{waves} w ON v.id = w.id"
+
+
+@Q(_layers_sql(30))
+def graph_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Topological waves; the graph is acyclic if no vertex is ``cyclic``, that is on a cycle or behind one."""
+    return graph.layers(graph.cut(call_edges(spark, d))).withColumn("cyclic", F.col("layer").isNull())
+
+
+@Q()
+def modular_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Multilevel modularity over all parts; those without calls are communities of their own."""
+    return communities.communities(read(spark, d, "part").select(F.col("p_partkey").alias("id")), graph.cut(call_edges(spark, d)))
