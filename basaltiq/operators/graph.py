@@ -253,3 +253,27 @@ def clustering(edges: DataFrame) -> DataFrame:
     t = F.coalesce("triangles", F.lit(0))
     coefficient = F.when(F.col("degree") > 1, 2.0 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)
     return degree.join(each, "id", "left").select("id", "degree", t.alias("triangles"), F.round(coefficient, 6).alias("coefficient"))
+
+
+def ancestry(links: DataFrame) -> DataFrame:
+    """``id, root, depth, cyclic`` for every end of ``links (id, parent)``: the topmost ancestor and how many steps away it is. What is
+    on a cycle of parents or below one has neither. Of several parents the least counts; a null parent is none.
+
+    Pointers double each round, so chains of n steps take log2(n) rounds; only what has not arrived is joined again."""
+    up = links.where("id is not null").groupBy("id").agg(F.min("parent").alias("to"))
+    above = up.where("to is not null").select(F.col("to").alias("id")).join(up.select("id"), "id", "left_anti").distinct().withColumn("to", F.lit(None).cast(dict(up.dtypes)["to"]))
+    own = cut(up.unionByName(above))
+    roots = own.where("to is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    arrived = cut(roots)
+    going = cut(own.where("to is not null").select("id", "to", F.lit(1).cast("long").alias("hops")))
+    left, rounds = going.count(), 0
+    most = max(1, left).bit_length() + 1
+    while left and rounds < most:
+        at_root = arrived.select(F.col("id").alias("to"), "root", F.col("depth").alias("more"))
+        arrived = cut(arrived.unionByName(going.join(at_root, "to").select("id", "root", (F.col("hops") + F.col("more")).alias("depth"))))
+        going = going.join(arrived.select("id"), "id", "left_anti")
+        ahead = going.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        # A pointer whose end has just arrived stays; the next round takes the rest of its way from there.
+        going = cut(going.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+        left, rounds = going.count(), rounds + 1
+    return own.select("id").join(arrived, "id", "left").select("id", "root", "depth", F.col("root").isNull().alias("cyclic"))

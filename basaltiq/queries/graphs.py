@@ -289,3 +289,12 @@ def graph_layers(spark: SparkSession, d: str) -> DataFrame:
 def modular_communities(spark: SparkSession, d: str) -> DataFrame:
     """Multilevel modularity over all parts; those without calls are communities of their own."""
     return communities.communities(read(spark, d, "part").select(F.col("p_partkey").alias("id")), graph.cut(call_edges(spark, d)))
+
+
+@Q("""WITH RECURSIVE up AS (SELECT client_id AS id, min(nullif(master_id, client_id)) AS parent FROM clients WHERE client_id IS NOT NULL GROUP BY 1), own AS (SELECT * FROM up UNION ALL SELECT DISTINCT parent, NULL::BIGINT FROM up WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM up)),
+r(id, above, depth) AS (SELECT id, id, 0::BIGINT FROM own UNION ALL SELECT r.id, own.parent, depth + 1 FROM r JOIN own ON own.id = r.above WHERE own.parent IS NOT NULL AND depth < 200),
+t AS (SELECT r.id, r.above AS root, r.depth FROM r JOIN own ON own.id = r.above WHERE own.parent IS NULL)
+SELECT own.id, root, depth, root IS NULL AS cyclic FROM own LEFT JOIN t ON own.id = t.id""")
+def master_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The topmost master of every client; one's own master is none, and of repeated rows of a client the least other one counts."""
+    return graph.ancestry(read(spark, d, "clients").select(F.col("client_id").alias("id"), F.nullif("master_id", "client_id").alias("parent")))

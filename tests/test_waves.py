@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from basaltiq.operators import code, extract, graph
 
 
@@ -85,3 +87,26 @@ def test_bracket_kinds(spark):
     rows = [(1, "x = (1]\ny = {a)\nz = [1, (2)]\nw = )\nv = ([\nu = ')' # ]")]
     got = {r.n: (r.unclosed, r.unmatched, r.mismatched) for r in code.unclosed_brackets(spark.createDataFrame(rows, "path long, text string")).collect()}
     assert got == {1: (0, 0, 1), 2: (0, 0, 1), 4: (0, 1, 0), 5: (2, 0, 0)}
+
+
+def test_ancestry(spark):
+    rng = random.Random(6)
+    parent = {k: (None if k % 17 == 0 else rng.randrange(k)) for k in range(1, 120)} | {200: 201, 201: 202, 202: 200, 203: 200, 204: 204, 300: 999}
+    links = spark.createDataFrame([*parent.items(), (5, parent[5]), (None, 3)], "id long, parent long").repartition(3)
+    want = {}
+    for v in set(parent) | {p for p in parent.values() if p is not None}:
+        at, steps = v, 0
+        while parent.get(at) is not None and steps < 200:
+            at, steps = parent[at], steps + 1
+        want[v] = (at, steps, False) if steps < 200 else (None, None, True)
+    assert {r.id: (r.root, r.depth, r.cyclic) for r in graph.ancestry(links).collect()} == want
+    assert want[203] == want[204] == (None, None, True) and want[300] == (999, 1, False)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    write = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (rounds.append(1), write(df))[1])
+    chain = spark.range(1, 5001).select(F.col("id"), (F.col("id") - 1).alias("parent"))
+    got = graph.ancestry(chain)
+    assert got.where("root = 0 and depth = id and not cyclic").count() == 5001 and len(rounds) < 2 * 14 + 6
