@@ -314,7 +314,7 @@ def test_warc(spark):
     noise = lambda k: random.Random(k).randbytes(700).hex()
     rows = [(k, f"http://x/{k}\r\n", "same" if k % 3 == 0 else noise(k) * (k % 9 > 0)) for k in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "é" * 70000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "refers_to": F.lit(2)})
-    manifest = warc.write_archives(pages.repartition(3), archive_bytes=2_000)
+    manifest = warc.write_archives(pages.repartition(3), archive_bytes=8_000)
     assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count() > 1
     got = {r.page_id: r for r in warc.read_archives(manifest).collect()}
     last = {}
