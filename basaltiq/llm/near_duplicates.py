@@ -43,6 +43,7 @@ from basaltiq.llm.components import components
 LEAST_BITS, MOST_BITS, LOAD = 16, 22, 16
 #: Buckets whose counts go together through a shuffle.
 PART = 8192
+MOST = np.uint64(2**32 - 1)
 BITS = 512
 CHUNK = 1024
 FANOUT = 8
@@ -200,8 +201,9 @@ def classes(docs: DataFrame, counts: Broadcast, size: int, percent: int) -> Data
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents by shingle bucket, at most 65535 each: every task counts all buckets, and parts of them are added up as
-    they stream by. The driver gets two bytes a bucket."""
+    """Documents by shingle bucket, in 32 bits, so that counts still tell frequent tokens apart at ``2**MOST_BITS`` buckets of a
+    hundred thousand shingles each: every task counts all buckets, and parts of them are added up as they stream by. The driver
+    gets four bytes a bucket, 16 MB at most."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 << min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(1, chars / 6 / LOAD)))))
 
@@ -214,7 +216,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
         part = total.reshape(-1, PART)
         used = np.flatnonzero(part.any(axis=1))
         for k in range(0, len(used), 256):
-            own = [np.minimum(part[i], 65535).astype(np.uint8 if part[i].max() < 256 else np.uint16).tobytes() for i in used[k : k + 256]]
+            own = [part[i].astype(np.min_scalar_type(part[i].max())).tobytes() for i in used[k : k + 256]]
             yield pa.record_batch([pa.array(used[k : k + 256], pa.int32()), pa.array(own, pa.binary())], names=["part", "counts"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +224,13 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
         for b in batches:
             for k, counts in zip(b.column("part").to_pylist(), b.column("counts"), strict=True):
                 data = counts.as_buffer()
-                own = total.setdefault(k, np.zeros(PART, np.uint32))
-                np.minimum(own + np.frombuffer(data, np.uint8 if len(data) == PART else np.uint16), 65535, out=own)
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint16).tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+                own = total.setdefault(k, np.zeros(PART, np.uint64))
+                own += np.frombuffer(data, f"u{len(data) // PART}")
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, MOST).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros((n // PART, PART), np.uint16)
+    out = np.zeros((n // PART, PART), np.uint32)
     for r in docs.select("text").mapInArrow(rows, "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary").toLocalIterator():
-        out[r["part"]] = np.frombuffer(r["counts"], np.uint16)
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
     return out.reshape(-1)
 
 

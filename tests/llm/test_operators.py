@@ -384,6 +384,18 @@ def test_near_duplicates(spark, corpus):
     assert worded.count() == sum(1 for d, (n, c) in want.items() if n and c == d and texts[d].strip())
 
 
+def test_sketch_counts_beyond_16_bits(spark, monkeypatch):
+    """A token of 70,000 documents stays apart from the others, also in a sketch of few buckets, and its rows are salted."""
+    monkeypatch.setattr(near_duplicates, "LEAST_BITS", 13)
+    monkeypatch.setattr(near_duplicates, "MOST_BITS", 13)
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five "), F.col("id")).alias("text"))
+    counts = near_duplicates.sketch(docs, 5)
+    shared, own = near_duplicates.shingle_sets(["one two three four five", "two three four five 17"], 5)
+    assert counts.sum() == 140_000 and counts[near_duplicates.bucket(shared, counts)][0] >= 70_000 > counts[near_duplicates.bucket(own, counts)][0]
+    both = near_duplicates.shingle_sets(["one two three four five 17"], 5)[0]
+    assert near_duplicates.prefix(both, counts, 80).tolist()[0] == own[0]
+
+
 def test_near_duplicates_at_the_threshold(spark):
     """Chains of sets around the threshold, and many texts that share a passage but are no copies."""
     r = random.Random(9)
