@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basaltiq.operators.graph import cut
 from basaltiq.operators.relational import pairs_within
 
 
@@ -17,6 +18,7 @@ def band(value: Column, high: float, medium: float, *, strict: bool = False) ->
 
 def co_change(file_commits: DataFrame, *, least: int) -> DataFrame:
     """``file_a, file_b, together, score, risk``; the score divides by the commits of more than one file."""
+    file_commits = cut(file_commits)
     many = file_commits.groupBy("commit").agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("n"))
     pairs = pairs_within(file_commits, "commit", "file", least=least)
     score = F.col("together") / F.col("n")
@@ -25,9 +27,11 @@ def co_change(file_commits: DataFrame, *, least: int) -> DataFrame:
 
 def hubs(pairs: DataFrame, *, partners: int, top: int) -> DataFrame:
     both = pairs.select(F.col("file_a").alias("file"), F.col("file_b").alias("o"), "together").unionByName(pairs.select(F.col("file_b").alias("file"), F.col("file_a").alias("o"), "together"))
-    ranked = both.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("together"), "o")))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= top, F.struct("k", F.col("o").cast("string").alias("o"))))), lambda x: x["o"]), ",")
-    return ranked.groupBy("file").agg(F.count("*").alias("partners"), F.round(F.avg("together"), 6).alias("mean"), F.max("together").alias("most"), first.alias("top")).where(F.col("partners") >= partners)
+    counts = both.groupBy("file").agg(F.count("*").alias("partners"), F.round(F.avg("together"), 6).alias("mean"), F.max("together").alias("most")).where(F.col("partners") >= partners)
+    # Apart from the counts, so that the group limit leaves a few partners of each file before the shuffle.
+    ranked = both.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("together"), "o"))).where(F.col("k") <= top)
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("o").cast("string").alias("o")))), lambda x: x["o"]), ",")
+    return counts.join(ranked.groupBy("file").agg(first.alias("top")), "file")
 
 
 def churn(file_commits: DataFrame, k: int) -> DataFrame:

@@ -127,8 +127,9 @@ def hashed_vector(docs: DataFrame, ident: str, text: str, dim: int = 128) -> Dat
     """``ident, bucket, weight``: L2-normalised word counts by a stable hash bucket (first eight digits of MD5)."""
     bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim
     own = docs.select(ident, F.explode(words(F.col(text))).alias("word")).groupBy(ident, bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    norm = own.groupBy(ident).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return own.join(norm, ident).select(ident, "bucket", F.round(F.col("n") / F.col("norm"), 6).alias("weight"))
+    # A document's counts, at most ``dim``, come together in its row: no join with the norms.
+    rows = own.groupBy(ident).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    return rows.select(ident, "norm", F.explode("counts").alias("c")).select(ident, "c.bucket", F.round(F.col("c.n") / F.col("norm"), 6).alias("weight"))
 
 
 def fuzzy_names(df: DataFrame, name: str, word: str, distance: int) -> DataFrame:
