@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltiq.operators import conversations, extract
+from basaltiq.operators import conversations, extract, secrets
 from basaltiq.registry import CORE
 from basaltiq.sources.tables import read
 
@@ -32,6 +32,24 @@ def line_findings(spark: SparkSession, d: str) -> DataFrame:
     return extract.findings(read(spark, d, "documents"))
 
 
+def _candidates_sql() -> str:
+    any_of = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+    each = [f"SELECT doc_id, line, l, '{k}' AS kind, '{s}' AS severity, NULL AS name, unnest(regexp_extract_all(l, '{_q(p)}')) AS value FROM l" for k, p, s in secrets.TOKENS]
+    risk = " ".join(f"WHEN contains(lower(name), '{w}') THEN {r}" for w, r in secrets.RISK)
+    return rf"""WITH {LINES}, m AS (SELECT doc_id, line, l, unnest(regexp_extract_all(l, '{_q(secrets.ASSIGNED)}')) AS m FROM l),
+c AS ({" UNION ALL ".join(each)} UNION ALL SELECT doc_id, line, l, 'high_risk_variable', NULL, regexp_extract(m, '(?i)^({secrets.NAMES})', 1), regexp_extract(m, '{_q(secrets.VALUE)}$', 1) FROM m),
+e AS (SELECT *, CASE WHEN name IS NULL THEN NULL {risk} ELSE {secrets.NO_RISK} END::DOUBLE AS risk, {any_of("lower(value)", secrets.PLACEHOLDERS)} AS stands, {any_of("l", secrets.ENVIRONMENT)} AS env,
+  log2(length(value)) - list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: (length(value) - length(replace(value, c, ''))) * log2(length(value) - length(replace(value, c, ''))))) / length(value) AS h FROM c)
+SELECT doc_id, line, kind, coalesce(severity, CASE WHEN risk > 0.7 THEN 'high' ELSE 'medium' END) AS severity, rtrim(regexp_replace(name, '[=:]$', '')) AS name, length(value) AS n_chars, round(h, 5) AS entropy, risk,
+round(CASE WHEN name IS NULL THEN least(1.0, h / 4 + 0.5) * CASE WHEN stands THEN {secrets.DAMPED} ELSE 1.0 END ELSE risk * CASE WHEN stands OR env THEN {secrets.DAMPED} ELSE h / 4 + 0.5 END END::DOUBLE, 5) AS confidence,
+CASE WHEN stands THEN 'placeholder' WHEN env THEN 'environment' ELSE 'candidate' END AS reason FROM e"""
+
+
+@Q(_candidates_sql())
+def secret_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.candidates(read(spark, d, "documents"), "doc_id", "text")
+
+
 def _mask_sql() -> str:
     x = "text"
     for n, s, p in extract.RULES:
