@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from basaltiq.operators import incremental
 from basaltiq.operators.graph import shared_folder
 from basaltiq.registry import CORE
-from basaltiq.sources import readers
+from basaltiq.sources import profiles, readers
 from basaltiq.sources.tables import read
 from basaltiq.streaming import streams
 
@@ -53,6 +53,18 @@ def manifest_delta(spark: SparkSession, d: str) -> DataFrame:
     return incremental.manifest_delta(docs.where("doc_id % 5 <> 0").drop("doc_id"), now.drop("doc_id"))
 
 
+DETAILS = ("line_no", "item_id", "vendor_id", "quantity", "flag")
+CELLS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, nullif({c}::VARCHAR, '') AS v FROM sale_lines" for c in DETAILS)
+
+
+@Q(f"""WITH c AS ({CELLS}), x AS (SELECT *, CASE WHEN regexp_matches(v, '{profiles.NUMBER}') THEN v::DOUBLE END AS x FROM c),
+a AS (SELECT column_name, count(v) AS n_filled, count(*) - count(v) AS n_empty, count(DISTINCT v) AS n_distinct, count(x) * 2 > count(v) AS numeric, min(x) AS lo, max(x) AS hi, avg(x) AS mean FROM x GROUP BY 1),
+d AS (SELECT DISTINCT column_name, v FROM c WHERE v IS NOT NULL), s AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY v) <= 5), j AS (SELECT column_name, string_agg(v, '|' ORDER BY v) AS samples FROM s GROUP BY 1)
+SELECT column_name, n_filled, n_empty, n_distinct, CASE WHEN numeric THEN 'numeric' ELSE 'text' END AS kind, CASE WHEN numeric THEN lo END AS lo, CASE WHEN numeric THEN hi END AS hi, CASE WHEN numeric THEN round(mean, 2) END AS mean, samples FROM a LEFT JOIN j USING (column_name)""")
+def column_details(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.column_details(read(spark, d, "sale_lines").select(*DETAILS))
+
+
 def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over the events table to its end and give the sink's last result."""
     schema = read(spark, d, "events").schema
