@@ -91,3 +91,39 @@ def format_ratio(rows: DataFrame, pattern: str) -> DataFrame:
 def cleanup(files: DataFrame, *, days: int, size: int) -> DataFrame:
     """What a clean-up would do to ``files (path, size, age_days)``; nothing is changed."""
     return files.where((F.col("size") > size) | (F.col("age_days") > days)).select("path", F.when(F.col("size") > size, "rotate").otherwise("delete").alias("action"))
+
+
+#: Levels by their words, in order; the first that a line holds counts.
+LEVEL_WORDS = (("ERROR", "ERROR|FATAL|CRITICAL"), ("WARN", "WARN|WARNING"), ("INFO", "INFO|NOTICE"), ("DEBUG", "DEBUG|TRACE"))
+#: What in a line points to a fault, and how severe it is.
+FAULTS = (
+    ("Failed to connect", "high"), ("timeout", "medium"), ("Exception:", "high"), ("Traceback", "high"), ("null pointer", "high"), ("(?i)permission denied", "high"),
+    ("segmentation fault", "critical"), ("out of memory", "critical"), ("disk full", "critical"), ("connection refused", "high"), ("panic:", "critical"), ("(?i)fatal:", "critical"),
+)
+#: Fields of a line.
+FIELDS = (("ip", r"\b((?:[0-9]{1,3}\.){3}[0-9]{1,3})\b"), ("user", r"(?i)\buser[=: ](\w+)"), ("status", r"\b([2-5][0-9]{2})\b"))
+STAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
+PREFIX = r"^[^ \t]+[ \t]+[^ \t]+[ \t]+"
+
+
+def profile(lines: DataFrame) -> DataFrame:
+    """``file, field, value, n`` for ``lines (file, line)``: what each file's lines hold.
+
+    ``ip``, ``user``, ``status``: each value with its occurrences. ``level`` and ``fault:<severity>``: lines. ``lines``: those that are
+    not blank. ``events``: different lines, without their first two words and beyond 80 signs. ``from`` and ``to``: the first and last
+    timestamp, with the number of lines that have one. Signs outside of ASCII part words. Counted by value before anything is
+    shuffled; null and blank lines hold nothing, and a file of none has no rows."""
+    own = lines.select("file", F.btrim("line", F.lit(" \t\r\n")).alias("l")).where("l <> ''").withColumn("a", F.regexp_replace("l", r"[^\x00-\x7F]", " "))
+    pair = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
+    found = [_fields(name, pattern) for name, pattern in FIELDS]
+    level = F.coalesce(*[F.when(F.col("a").rlike(p), F.lit(k)) for k, p in LEVEL_WORDS])
+    single = F.array(pair("lines", F.lit(None).cast("string")), F.when(level.isNotNull(), pair("level", level)), *[F.when(F.col("a").rlike(p), pair(f"fault:{s}", F.lit(p.removeprefix("(?i)")))) for p, s in FAULTS])
+    counted = own.select("file", F.explode(F.concat(F.array_compact(single), *found)).alias("f")).groupBy("file", "f.field", "f.value").agg(F.count("*").alias("n"))
+    stamp = F.nullif(F.regexp_extract("a", STAMP, 0), F.lit(""))
+    whole = own.select("file", stamp.alias("t"), F.left(F.regexp_replace("l", PREFIX, ""), F.lit(80)).alias("e")).groupBy("file").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("k"), F.count_distinct("e").alias("d"))
+    ends = F.array(F.struct(F.lit("events").alias("field"), F.lit(None).cast("string").alias("value"), F.col("d").alias("n")), *[F.when(F.col("k") > 0, F.struct(F.lit(f).alias("field"), F.col(c).alias("value"), F.col("k").alias("n"))) for f, c in (("from", "lo"), ("to", "hi"))])
+    return counted.unionByName(whole.select("file", F.explode(F.array_compact(ends)).alias("f")).select("file", "f.*"))
+
+
+def _fields(name: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all("a", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(name).alias("field"), v.alias("value")))

@@ -188,6 +188,22 @@ def log_profile_ips(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("ip").agg(F.countDistinct("doc_id").alias("docs"))
 
 
+def _log_profile_sql() -> str:
+    level = " ".join(f"WHEN regexp_matches(a, '{p}') THEN '{k}'" for k, p in logs.LEVEL_WORDS)
+    fields = " UNION ALL ".join(f"SELECT source, '{k}' AS field, unnest(regexp_extract_all(a, '{p}', 1)) AS value FROM l" for k, p in logs.FIELDS)
+    faults = " UNION ALL ".join(f"SELECT source, 'fault:{s}', '{p.removeprefix('(?i)')}' FROM l WHERE regexp_matches(a, '{p}')" for p, s in logs.FAULTS)
+    return rf"""WITH u AS (SELECT source, trim(unnest(string_split(text, chr(10))), concat(' ', chr(9), chr(13), chr(10))) AS l FROM documents), l AS (SELECT *, regexp_replace(l, '[^\x00-\x7F]', ' ', 'g') AS a FROM u WHERE l <> ''),
+f AS ({fields} UNION ALL {faults} UNION ALL SELECT source, 'lines', NULL FROM l UNION ALL SELECT source, 'level', CASE {level} END FROM l WHERE CASE {level} END IS NOT NULL),
+w AS (SELECT source, min(t) AS lo, max(t) AS hi, count(t) AS k, count(DISTINCT e) AS d FROM (SELECT source, nullif(regexp_extract(a, '{logs.STAMP}'), '') AS t, left(regexp_replace(l, '{logs.PREFIX}', ''), 80) AS e FROM l) GROUP BY 1)
+SELECT source, field, value, count(*) AS n FROM f GROUP BY 1, 2, 3 UNION ALL SELECT source, 'events', NULL, d FROM w UNION ALL SELECT source, 'from', lo, k FROM w WHERE k > 0 UNION ALL SELECT source, 'to', hi, k FROM w WHERE k > 0"""
+
+
+@Q(_log_profile_sql())
+def log_profile(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").select(F.col("source").alias("file"), F.explode(F.split("text", "\n")).alias("line"))
+    return logs.profile(lines).withColumnRenamed("file", "source")
+
+
 # ------------------------------------------------------------------ history
 
 PAIRS = """fc AS (SELECT DISTINCT l_orderkey c, l_partkey f FROM lineitem), m AS (SELECT c FROM fc GROUP BY 1 HAVING count(*) > 1), multi AS (SELECT count(*) AS n FROM m),
