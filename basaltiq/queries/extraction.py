@@ -149,6 +149,24 @@ def conversation_compaction(spark: SparkSession, d: str) -> DataFrame:
     return conversations.compact(read(spark, d, "conversations"), 1500)
 
 
+#: Announcements and quoted files stand for words of the texts, which have none.
+SPOKEN = "replace(replace(replace(text, ' und ', ' decided to '), ' la ', ' `src/la.py` '), ' of ', ' let me `of.md` ')"
+
+
+def _digest_sql() -> str:
+    announced = ", ".join(f"nullif(regexp_extract(t, '{_q(p)}'), '')" for p in conversations.DECISIONS)
+    return f"""WITH c AS (SELECT conv_id, turn, role, {SPOKEN} AS t FROM conversations WHERE text IS NOT NULL), a AS (SELECT * FROM c WHERE role = 'assistant'),
+d AS (SELECT conv_id, turn, left(coalesce({announced}), 100) AS value FROM a), f AS (SELECT conv_id, value, min(turn) AS turn FROM (SELECT conv_id, turn, unnest(regexp_extract_all(t, '{conversations.FILE}', 1)) AS value FROM c) GROUP BY 1, 2)
+SELECT conv_id, 'reasoning' AS kind, 1 AS place, left(t, 500) AS value FROM a QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, t) = 1
+UNION ALL SELECT conv_id, 'decision', row_number() OVER w, value FROM d WHERE value IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, value) QUALIFY row_number() OVER w <= 5
+UNION ALL SELECT conv_id, 'file', row_number() OVER w, value FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn, value) QUALIFY row_number() OVER w <= 15"""
+
+
+@Q(_digest_sql())
+def conversation_digest(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.digest(read(spark, d, "conversations").withColumn("text", F.expr(SPOKEN)))
+
+
 @Q("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 4) AS mean_chars FROM conversations GROUP BY 1")
 def role_stats(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
