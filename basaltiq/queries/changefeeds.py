@@ -50,7 +50,9 @@ def _replayed(spark: SparkSession, d: str) -> DataFrame:
     for k in range(STARTS):
         new = spark.read.schema(changefeed.EVENTS + ", start int").parquet(staged).where(F.col("start") == k).drop("start")
         if k == STARTS - 1:
-            last = dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=FIRST_DAY + DAYS + 366)
+            # The clock follows the events: sessions after a fixed day would stay open, and their events be lost.
+            newest = spark.read.schema(changefeed.EVENTS).parquet(staged).agg(F.max(F.unix_micros("ts")).alias("m")).first().m or 0
+            last = dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + max(dt.timedelta(microseconds=newest), dt.timedelta(days=FIRST_DAY + DAYS + 366))
             new = new.unionByName(changefeed.closing(spark, last, dt.timedelta(days=30)))
         new.write.mode("append").parquet(f"{base}/events")
         changefeed.follow(spark, f"{base}/events", base, quiet=QUIET, within=WITHIN, late=LATE)
