@@ -83,6 +83,10 @@ def bm25(docs: DataFrame, ident: str, text: str, terms: list[str], *, k1: float
     return j.groupBy(ident).agg(F.round(F.sum(part), 5).alias("score"))
 
 
+#: Scores that a task holds at once, 8 bytes each and a few copies.
+CELLS = 1_000_000
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
     """``query, vec_id, score``: the k most similar vectors to each query vector, by cosine, exact.
 
@@ -106,12 +110,11 @@ def _nearest_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if not rows:
         return vectors.select(F.col("vec_id").cast("long").alias("query"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     ids, target = [r["vec_id"] for r in rows], _unit(np.array([r["embedding"] for r in rows], float))
+    step = max(1, CELLS // len(ids))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (all_.iloc[at : at + step] for all_ in batches for at in range(0, len(all_), step)):
             raw = _unit(np.array(b["embedding"].tolist(), float)) @ target.T
             score = np.copysign(np.floor(np.abs(raw) * 1e4 + 0.5), raw).T / 1e4
             score = np.concatenate([held[0], score], axis=1)
