@@ -51,8 +51,10 @@ def action(text: Column, rules: list[Rule] = RULES) -> Column:
 
 
 def entropy(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """Shannon entropy of the characters, in bits; null texts have none."""
-    chars = df.select(ident, F.explode(F.split(F.col(text), "")).alias("c")).where("c <> ''").groupBy(ident, "c").agg(F.count("*").alias("n"))
+    """Shannon entropy of the characters, in bits; null texts have none. Rows are dealt before their characters are counted: a short
+    table lies in one file, and its one task would hold a count for every character of every row."""
+    dealt = df.select(ident, text).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ident, text)
+    chars = dealt.select(ident, F.explode(F.split(F.col(text), "")).alias("c")).where("c <> ''").groupBy(ident, "c").agg(F.count("*").alias("n"))
     total = chars.groupBy(ident).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     return total.select(ident, F.round(F.log2("t") - F.col("s") / F.col("t"), 5).alias("entropy"))
 
