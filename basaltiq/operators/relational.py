@@ -18,6 +18,8 @@ def keyset_page(df: DataFrame, key: str, after: int, size: int) -> DataFrame:
     return df.where(F.col(key) > after).orderBy(key).limit(size + 1)
 
 
+#: Rows that a task pairs: its pairs are held for counting, so tasks follow the rows, not the bytes shuffled.
+TASK_ROWS = 100_000
 #: Rows of a group that meet each other in one unit of work.
 UNIT_ROWS = 1000
 #: Rows of a table of large groups that may be broadcast.
@@ -34,11 +36,12 @@ def _split(df: DataFrame, group: str) -> DataFrame:
 
 
 def pairs_within(df: DataFrame, group: str, item: str, *, least: int = 1) -> DataFrame:
-    """``<item>_a, <item>_b, together``: pairs of items in common groups; ``df`` holds distinct (group, item).
+    """``<item>_a, <item>_b, together``: pairs of items in common groups; ``df`` is a written table of distinct (group, item).
 
     Items in fewer than ``least`` groups leave first. A large group is cut into parts, and each pair of parts is a unit
     of its own, so that no task squares a group.
     """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
     if least > 1:
         often = df.groupBy(item).agg(F.count("*").alias("_often")).where(F.col("_often") >= least).select(item)
         df = df.join(often, item).select(group, item)
@@ -46,7 +49,8 @@ def pairs_within(df: DataFrame, group: str, item: str, *, least: int = 1) -> Dat
     to = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     a = own.select(group, F.col(item).alias(f"{item}_a"), F.col("_k").alias("_i"), to.alias("_j"))
     b = own.select(group, F.col(item).alias(f"{item}_b"), to.alias("_i"), F.col("_k").alias("_j"))
-    pairs = a.join(b, [group, "_i", "_j"]).where(F.col(f"{item}_a") < F.col(f"{item}_b"))
+    unit = [group, "_i", "_j"]
+    pairs = a.repartition(parts, *unit).join(b.repartition(parts, *unit), unit).where(F.col(f"{item}_a") < F.col(f"{item}_b"))
     return pairs.groupBy(f"{item}_a", f"{item}_b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 

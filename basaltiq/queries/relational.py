@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basaltiq.functions.text import glob_to_regex
 from basaltiq.operators import incremental, relational
+from basaltiq.operators.graph import cut
 from basaltiq.plans.dsl import compile_query
 from basaltiq.registry import CORE
 from basaltiq.sources.tables import call_edges, call_edges_sql, file_commits, read
@@ -126,7 +127,7 @@ def uncalled_functions(spark: SparkSession, d: str) -> DataFrame:
 @Q("""WITH fc AS (SELECT DISTINCT l_orderkey c, l_partkey f FROM lineitem)
 SELECT a.f AS file_a, b.f AS file_b, count(*) AS together FROM fc a JOIN fc b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2""")
 def pair_self_join(spark: SparkSession, d: str) -> DataFrame:
-    return relational.pairs_within(file_commits(spark, d), "commit", "file", least=2)
+    return relational.pairs_within(cut(file_commits(spark, d)), "commit", "file", least=2)
 
 
 @Q("""SELECT c_custkey, coalesce(c_mktsegment, c_name) AS segment, n_name AS workspace, r_name AS ide FROM customer JOIN nation ON c_nationkey = n_nationkey
