@@ -1,8 +1,9 @@
 """Many names sought in many texts at once, without pairing each with each.
 
-A name is hung on its anchor: of the runs of ``GRAM`` signs without a blank in it, the one that the fewest texts hold (a name of shorter words is hung on
+A name is hung on its anchor: of the runs of ``GRAM`` signs without a blank in it, the one that the fewest words of texts hold (a name of shorter words is hung on
 its longest word). A text that contains a name contains its anchor, so texts meet only the names whose anchors they hold; then the
-name is looked up in the text. Anchors are a few bytes each and are broadcast behind a count; texts are shuffled once, with their candidates.
+name is looked up in the text. Anchors are sought in the different words of all texts, and texts meet them by their words; words with
+anchors are broadcast behind a count. Texts are shuffled once, with their candidates.
 
 Defined results. Null texts and names, and names without a visible sign, give no rows. Names and texts that stand twice count once. Case counts.
 """
@@ -31,11 +32,8 @@ def _candidates(names: DataFrame) -> DataFrame:
     return names.where(F.col("name").rlike(r"\S")).select("name", F.explode(anchors).alias("anchor"))
 
 
-def _held(texts: DataFrame, anchors: DataFrame, lengths: list[int]) -> DataFrame:
-    """``id, anchor``: the ``anchors (anchor)`` that each text holds."""
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), n) for n in lengths])))
-    few = anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return texts.select("id", F.explode(grams).alias("anchor")).join(F.broadcast(anchors) if few else anchors, "anchor", "left_semi")
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -45,12 +43,17 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     own = texts.select("id", "text").where("text is not null")
     if not lengths:
         return own.select("id", F.lit("").alias("name")).limit(0)
-    held = _held(own, known.select("anchor").distinct(), lengths)
-    counts = held.groupBy("anchor").agg(F.count("*").alias("texts"))
+    held = own.select("id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    # An anchor has no blank, so it lies in a word; each different word is scanned once, not each text.
+    vocabulary = held.groupBy("word").agg(F.count("*").alias("texts"))
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("word"), n) for n in lengths])))
+    spots = cut(vocabulary.select("word", "texts", F.explode(grams).alias("anchor")).join(_few(known.select("anchor").distinct()), "anchor", "left_semi"))
+    counts = spots.groupBy("anchor").agg(F.sum("texts").alias("texts"))
     # A name of which some candidate is in no text is in none itself.
     rare = known.join(counts, "anchor", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "anchor")).alias("m")).where("m.texts > 0")
     hung = cut(rare.select("name", F.col("m.anchor").alias("anchor")))
-    met = _held(own, hung.select("anchor").distinct(), lengths).join(hung, "anchor").groupBy("id").agg(F.collect_set("name").alias("names"))
+    at = cut(spots.select("word", "anchor").join(hung, "anchor").select("word", "name").distinct())
+    met = held.join(_few(at), "word").groupBy("id").agg(F.collect_set("name").alias("names"))
     found = own.join(met, "id").select("id", F.explode(F.filter("names", lambda n: F.contains(F.col("text"), n))).alias("name"))
     return found.distinct()
 
