@@ -85,6 +85,13 @@ def _grams(docs: DataFrame, *cols: str) -> DataFrame:
     return with_gram_hashes(docs, *cols).select(*cols, F.explode(F.concat("g1", "g2")).alias("g"))
 
 
+def _counts(docs: DataFrame, n: int) -> DataFrame:
+    """``bucket, raw, target`` of ``docs (text, trusted)``. Every task sends a row for each bucket that it has met, most of the ``n`` soon, so texts
+    are read by as many tasks as run at once, not by one for each piece of a file: what is sent follows the buckets alone."""
+    few = docs.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism))
+    return _grams(few, "trusted").groupBy(F.pmod("g", F.lit(n)).alias("bucket")).agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, *, n_buckets: int, uniform: float) -> tuple[DataFrame, int]:
     """The model, ``bucket, ratio``: log p(bucket | trusted) - log p(bucket | corpus), from all rows; and its number of
     buckets, ``n_buckets`` at least. Three totals reach the driver."""
@@ -93,7 +100,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, *, n_buckets: int, uniform: f
     grams = _grams(docs.join(side, "doc_id", "left"), "trusted")
     total = grams.agg(F.approx_count_distinct("g").alias("grams"), F.count("*").alias("raw"), F.count("trusted").alias("target")).first()
     n = max(n_buckets, total["grams"] // LOAD)
-    counts = grams.groupBy(F.pmod("g", F.lit(n)).alias("bucket")).agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    counts = _counts(docs.join(side, "doc_id", "left"), n)
     p = lambda c: F.lit(1 - uniform) * F.col(c) / F.lit(total[c]) + F.lit(uniform / n)
     ratio = F.round(F.log(p("target")) - F.log(p("raw")), 9) if total["target"] else F.lit(0.0)
     return written(counts.select("bucket", ratio.alias("ratio")), "quality_ratios"), n
