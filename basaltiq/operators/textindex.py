@@ -2,8 +2,8 @@
 
 An index is a folder. A segment holds the postings ``(term, doc, tf, len)`` of the texts it was made from, once by word and once
 by stem, dealt to ``BUCKETS`` folders by the term's hash and sorted by term within, so a query opens its terms' folders and skips
-what lies beside them by the files' statistics. Ranges of (term, document) are what tasks write: a word of every text is spread
-over several. Words are listed under their first 2, 3 and 4 letters. ``live`` lists the segments of each version of the index,
+what lies beside them by the files' statistics. Shares of the documents of a folder are what tasks write: a word of every text is
+spread over several. Words are listed under their first 2, 3 and 4 letters. ``live`` lists the segments of each version of the index,
 the last one counts; a reader never sees half a merge. Adding a segment beyond ``fan_in`` merges all of them into one, so what
 is written grows as the texts times the logarithm of their number. A document's id must not come twice.
 """
@@ -21,6 +21,9 @@ from basaltiq.operators.graph import cut, shared_folder
 
 BUCKETS = 32
 PREFIXES = (2, 3, 4)
+#: Documents whose words a task counts, and documents whose postings of one bucket a task writes.
+TASK_DOCS, SHARE_DOCS = 2000, 100_000
+POSTINGS = "term string, doc long, tf long, len long, kind string, bucket int"
 VOWEL = "[aeiouy]"
 
 
@@ -30,7 +33,8 @@ def stem(word: Column) -> Column:
     bare = F.regexp_replace(plural, "(ed|ing)$", "")
     whole = F.when(bare.rlike("(at|bl|iz)$"), F.concat(bare, F.lit("e"))).when(bare.rlike(r"([^aeioulsz])\1$"), F.regexp_replace(bare, ".$", "")).otherwise(bare)
     cut_ = F.when(plural.endswith("eed"), F.regexp_replace(plural, "eed$", "ee")).when(plural.rlike(f"{VOWEL}.*(ed|ing)$"), whole).otherwise(plural)
-    return F.when(F.length(word) < 4, word).otherwise(F.when(cut_.rlike(f"{VOWEL}.*y$"), F.regexp_replace(cut_, "y$", "i")).otherwise(cut_))
+    # Words of other last letters are their own stems.
+    return F.when((F.length(word) < 4) | ~F.right(word, F.lit(1)).isin("s", "d", "g", "y"), word).otherwise(F.when(cut_.rlike(f"{VOWEL}.*y$"), F.regexp_replace(cut_, "y$", "i")).otherwise(cut_))
 
 
 def _bucket(term: Column) -> Column:
@@ -47,27 +51,35 @@ class TextIndex:
     # Writing
 
     def add(self, docs: DataFrame, ident: str, text: str) -> None:
-        """A segment of ``docs``; null and empty texts count as documents without words."""
-        own = docs.select(F.col(ident).alias("doc"), words(F.coalesce(F.col(text), F.lit(""))).alias("w")).select("doc", F.size("w").cast("long").alias("len"), "w")
-        counted = cut(own.select("doc", "len", F.explode("w").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf")))
-        stems = counted.select("doc", "len", stem(F.col("term")).alias("term"), "tf").groupBy("doc", "len", "term").agg(F.sum("tf").alias("tf"))
-        sizes = own.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("n_words"))
-        self._publish([counted.withColumn("kind", F.lit("word")), stems.withColumn("kind", F.lit("stem"))], sizes, self.segments())
+        """A segment of ``docs``; null and empty texts count as documents without words.
+
+        Texts are dealt before they are cut into words, so that words and stems are counted where they stand."""
+        n_docs = docs.count()
+        tasks = max(self._spark.sparkContext.defaultParallelism, -(-n_docs // TASK_DOCS))
+        dealt = docs.select(F.col(ident).alias("doc"), F.col(text).alias("text")).repartition(tasks, "doc")
+        own = dealt.select("doc", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc", F.size("w").cast("long").alias("len"), F.explode("w").alias("term"))
+        counted = own.groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+        both = counted.select("doc", "len", "tf", F.explode(F.array(F.struct(F.lit("word").alias("kind"), "term"), F.struct(F.lit("stem").alias("kind"), stem(F.col("term")).alias("term")))).alias("t"))
+        self._publish(both.groupBy("doc", "len", "t.kind", "t.term").agg(F.sum("tf").alias("tf")), n_docs, self.segments())
         if len(self.segments()) > self._fan_in:
             self.merge()
 
     def merge(self) -> None:
         """All segments become one; the old ones stay on disk for readers that have begun."""
-        self._publish([self._postings(kind).withColumn("kind", F.lit(kind)) for kind in ("word", "stem")], self._sizes(), [])
+        both = [self._postings(kind).withColumn("kind", F.lit(kind)) for kind in ("word", "stem")]
+        self._publish(both[0].unionByName(both[1]), self._sizes().first().n_docs, [])
 
-    def _publish(self, postings: list[DataFrame], sizes: DataFrame, beside: list[str]) -> None:
+    def _publish(self, postings: DataFrame, n_docs: int, beside: list[str]) -> None:
         name = uuid.uuid4().hex
-        for some in postings:
-            made = some.select("term", "doc", "tf", "len", "kind", _bucket(F.col("term")).alias("bucket"))
-            made.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc").write.mode("append").partitionBy("kind", "bucket").parquet(f"{self.path}/segment-{name}")
-        listed = postings[0].select("term").distinct().select("term", F.explode(F.array(*[F.left("term", F.lit(n)) for n in PREFIXES])).alias("prefix")).where(F.length("prefix") >= PREFIXES[0]).distinct()
-        listed.withColumn("bucket", _bucket(F.col("prefix"))).repartitionByRange("bucket", "prefix", "term").write.partitionBy("bucket").parquet(f"{self.path}/prefixes-{name}")
-        sizes.write.parquet(f"{self.path}/sizes-{name}")
+        # A bucket is written by several tasks, a share of the documents each, and a task writes one bucket; nothing is sampled for that.
+        shares = max(1, -(-n_docs // SHARE_DOCS))
+        dealt = lambda df, key, by: df.withColumn("bucket", _bucket(F.col(key))).repartitionById(BUCKETS * shares, F.col("bucket") * shares + F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
+        made = dealt(postings.select("term", "doc", "tf", "len", "kind"), "term", "doc")
+        made.sortWithinPartitions("kind", "bucket", "term", "doc").write.partitionBy("kind", "bucket").parquet(f"{self.path}/segment-{name}")
+        own = self._spark.read.schema(POSTINGS).parquet(f"{self.path}/segment-{name}").where("kind = 'word'")
+        listed = own.select("term").distinct().select("term", F.explode(F.array_distinct(F.array(*[F.left("term", F.lit(n)) for n in PREFIXES]))).alias("prefix")).where(F.length("prefix") >= PREFIXES[0])
+        dealt(listed, "prefix", "term").sortWithinPartitions("bucket", "prefix", "term").write.partitionBy("bucket").parquet(f"{self.path}/prefixes-{name}")
+        own.agg(F.lit(n_docs).cast("long").alias("n_docs"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_words")).write.parquet(f"{self.path}/sizes-{name}")
         version = self._version() + 1
         self._spark.createDataFrame([(version, [*beside, name])], "version long, segments array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/live")
 
@@ -89,7 +101,7 @@ class TextIndex:
         return list(last.segments) if last else []
 
     def _postings(self, kind: str) -> DataFrame:
-        each = [self._spark.read.schema("term string, doc long, tf long, len long, kind string, bucket int").parquet(f"{self.path}/segment-{s}") for s in self.segments()]
+        each = [self._spark.read.schema(POSTINGS).parquet(f"{self.path}/segment-{s}") for s in self.segments()]
         return reduce(DataFrame.unionByName, each).where(F.col("kind") == kind).select("term", "doc", "tf", "len", "bucket")
 
     def _sizes(self) -> DataFrame:
