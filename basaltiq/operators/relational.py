@@ -55,10 +55,17 @@ def pairs_within(df: DataFrame, group: str, item: str, *, least: int = 1) -> Dat
 
 
 def shared_tokens(left: DataFrame, right: DataFrame, token: str, a: str, b: str, *, least: int) -> DataFrame:
-    """``a, b, shared``: pairs over two tables of distinct (token, a) and (token, b). The left rows of a frequent token are cut into parts."""
-    own = _split(left.select(token, a), token).drop("_n")
-    parts = own.select(token, "_k").distinct()
-    pairs = own.join(right.join(parts, token), [token, "_k"])
+    """``a, b, shared``: pairs over two tables of distinct (token, a) and (token, b).
+
+    Where the right table is small it meets the left rows where they stand: if these are dealt by ``a``, pairs are counted
+    without a shuffle. Else the left rows of a frequent token are cut into parts."""
+    if right.count() <= MOST_LARGE:
+        lists = right.groupBy(token).agg(F.collect_list(F.struct(b)).alias("_b"))
+        pairs = left.join(F.broadcast(lists), token).select(a, F.explode("_b").alias("_b")).select(a, f"_b.{b}")
+    else:
+        own = _split(left.select(token, a), token).drop("_n")
+        parts = own.select(token, "_k").distinct()
+        pairs = own.join(right.join(parts, token), [token, "_k"])
     return pairs.groupBy(a, b).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 

@@ -173,8 +173,10 @@ def timeline_pairs(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (w) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def token_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """Documents against benchmark items, two types of chunk, on all their words of four letters or more."""
-    words = lambda t, key: read(spark, d, t).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1))).alias("w"))
-    return relational.shared_tokens(words("documents", "doc_id"), words("benchmark", "item_id"), "w", "doc_id", "item_id", least=2)
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1))).alias("w"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-docs.count() // 5000))
+    return relational.shared_tokens(words(docs.repartition(tasks, "doc_id"), "doc_id"), words(read(spark, d, "benchmark"), "item_id"), "w", "doc_id", "item_id", least=2)
 
 
 @Q("SELECT r_name, n_name FROM region, nation WHERE r_regionkey <> n_regionkey")
