@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,25 @@ def test_bisect_and_prune():
     place, n = sale_versions.bisect_versions(held, a(1, 1, 1, 2, 3, 3), a(1, 4, 3, 9, 1, 0))
     assert place.tolist() == [-1, 2, 0, -1, 3, -1] and n.tolist() == [3, 3, 3, 0, 1, 1]
     assert sale_versions.pruned(held, 4)["at"].tolist() == [4, 1] and sale_versions.pruned(held, 3)["at"].tolist() == [2, 4, 4, 1]
+
+
+def test_bpe_words_are_merged_together():
+    """Words of every length, those of several bytes in one matrix and long ones from a heap, against the library; a task's later batches find words that it holds."""
+    rng = random.Random(5)
+    ranks = byte_bpe.read_ranks(RANKS)
+    words = sorted({"".join(rng.choice("abcdetionß漢Q") for _ in range(rng.randint(1, 70))).encode() for _ in range(2000)} | {b"ab" * 3000, b"a"})
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    want, held = [library.encode_ordinary(w.decode()) for w in words], {}
+    merges = byte_bpe.Merges(ranks)
+    assert merges.ids(words, held, 100) == want and len(held) == 100
+    assert merges.ids(words[::-1], held, 100) == want[::-1] and merges.ids([], held, 0) == []
+
+
+def test_bpe_of_runs_of_texts(spark, monkeypatch):
+    """A run of texts, not a batch, is worked on at once; null ids stay null."""
+    monkeypatch.setattr(byte_bpe, "ENTRIES", 3)
+    lists = pa.array([[1, 2], None, [3], [], [4, 5, 6, 7], [8]], pa.list_(pa.int32()))
+    assert [(r.start, r.stop) for r in byte_bpe._runs(lists)] == [(0, 4), (4, 5), (5, 6)]
+    of = lambda some: (pa.py_buffer(some.astype("<u4")), 4 * np.arange(len(some) + 1))
+    want = [None if x is None else np.array(x, "<u4").tobytes() for x in lists.to_pylist()]
+    assert byte_bpe._binaries(lists, of).to_pylist() == want and byte_bpe._binaries(lists[1:5], of).to_pylist() == want[1:5]
